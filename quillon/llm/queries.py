@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .byte_bpe import op6
 from .decontaminate import op4
+from .store import op10
 
 QUERIES = {
     "op4_decontaminate": op4,
     "op6_byte_bpe": op6,
+    "op10_store": op10,
 }
 
 ORACLES: dict[str, str] = {}
