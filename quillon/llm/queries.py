@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .byte_bpe import op6
 from .decontaminate import op4
+from .simhash import op9
 from .store import op10
 
 QUERIES = {
     "op4_decontaminate": op4,
     "op6_byte_bpe": op6,
+    "op9_simhash": op9,
     "op10_store": op10,
 }
 
