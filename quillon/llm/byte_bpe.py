@@ -260,6 +260,14 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _models: dict[str, ByteBpe] = {}
 
 
+def _model(name: str, sent, pattern: str) -> ByteBpe:
+    """This worker process's model, kept with its cache from task to task."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = ByteBpe(read_ranks(sent.value), pattern)
+    return _models[name]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, text: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """The columns `keep` (all) with `ids` (array of int) and `decoded` (string); with digest instead n_tokens,
     ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256."""
@@ -273,10 +281,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     schema = to_arrow_schema(out)
 
     def run(arrow):
-        if name not in _models:
-            _models.clear()
-            _models[name] = ByteBpe(read_ranks(sent.value), pattern)
-        model = _models[name]
+        model = _model(name, sent, pattern)
         for b in batches(arrow, 4 << 20):
             ids = model.encode([x or "" for x in b.column(text).to_pylist()])
             if digest:

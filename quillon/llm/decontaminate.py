@@ -97,6 +97,13 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
 _built: dict[str, ahocorasick.Automaton | None] = {}
 
 
+def _automaton(name: str, sent) -> ahocorasick.Automaton | None:
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(sent.value) if sent.value else None
+    return _built[name]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, group_bytes: int = 256 << 10) -> DataFrame:
     """docs with n_words, n_hit, items (ids found, ascending) and spans (hit passages, character offsets)."""
     keep = [c for c in docs.columns if c.lower() not in {f.name for f in RESULT}]
@@ -124,10 +131,7 @@ def _scanner(sent, text: str, keep: list[str], schema: pa.Schema, again: bool):
     name = uuid.uuid4().hex
 
     def run(arrow):
-        if name not in _built:
-            _built.clear()
-            _built[name] = automaton(sent.value) if sent.value else None
-        a = _built[name]
+        a = _automaton(name, sent)
         for b in batches(arrow):
             n_words, n_hit, items, spans, hits = [], [], [], [], []
             before = list(zip(b.column("items").to_pylist(), b.column("_words").to_pylist(), strict=True)) if again else None

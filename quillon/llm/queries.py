@@ -6,8 +6,10 @@ from .byte_bpe import op6
 from .decontaminate import op4
 from .simhash import op9
 from .store import op10
+from .substring_dedup import op3
 
 QUERIES = {
+    "op3_substring_dedup": op3,
     "op4_decontaminate": op4,
     "op6_byte_bpe": op6,
     "op9_simhash": op9,

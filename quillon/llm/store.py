@@ -173,17 +173,23 @@ def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _encoder(name: str, sent) -> WordEncoder:
+    """This worker process's encoder, kept with its cache from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = WordEncoder(sent.value)
+    return _encoders[name]
+
+
 def _encoded(docs: DataFrame, definition: str, end: int, width: int) -> DataFrame:
     """doc_id, n_tokens, root, digests (16 bytes each), sizes (u4 each), ids for every document."""
     sent, name = docs.sparkSession.sparkContext.broadcast(definition), uuid.uuid4().hex
 
     def run(arrow):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if name not in _encoders:
-            _encoders.clear()
-            _encoders[name] = WordEncoder(sent.value)
+        encoder = _encoder(name, sent)
         for b in batches(arrow, 8 << 20):
-            ids, bounds = _encoders[name].encode(texts(b), end)
+            ids, bounds = encoder.encode(texts(b), end)
             data = ids.astype(f"<u{width}").tobytes()
             rows = []
             for s, ends in zip(bounds.tolist(), cuts(ids, bounds), strict=False):
