@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .byte_bpe import op6
 from .decontaminate import op4
+from .quality import op8
 from .simhash import op9
 from .store import op10
 from .substring_dedup import op3
+from .toxicity import op1
 
 QUERIES = {
+    "op1_toxicity": op1,
     "op3_substring_dedup": op3,
     "op4_decontaminate": op4,
     "op6_byte_bpe": op6,
+    "op8_quality": op8,
     "op9_simhash": op9,
     "op10_store": op10,
 }
