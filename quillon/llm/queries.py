@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op6
 from .decontaminate import op4
+from .embedding_dedup import op5
 from .quality import op8
 from .simhash import op9
 from .store import op10
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1,
     "op3_substring_dedup": op3,
     "op4_decontaminate": op4,
+    "op5_embedding_dedup": op5,
     "op6_byte_bpe": op6,
     "op8_quality": op8,
     "op9_simhash": op9,
