@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op6
+from .chat import op7
 from .decontaminate import op4
 from .embedding_dedup import op5
 from .quality import op8
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontaminate": op4,
     "op5_embedding_dedup": op5,
     "op6_byte_bpe": op6,
+    "op7_chat": op7,
     "op8_quality": op8,
     "op9_simhash": op9,
     "op10_store": op10,

@@ -197,9 +197,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id. Of rows that share it, and of rows without
-    an id in a group that has none, one stays too."""
+    """One document of each group stays: that of the smallest doc_id, and of rows that share it one. A row without
+    a doc_id stays unless another such row has its text."""
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    stay = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
