@@ -6,6 +6,7 @@ from .byte_bpe import op6
 from .chat import op7
 from .decontaminate import op4
 from .embedding_dedup import op5
+from .ngram_lm import op2
 from .quality import op8
 from .simhash import op9
 from .store import op10
@@ -14,6 +15,7 @@ from .toxicity import op1
 
 QUERIES = {
     "op1_toxicity": op1,
+    "op2_ngram_lm": op2,
     "op3_substring_dedup": op3,
     "op4_decontaminate": op4,
     "op5_embedding_dedup": op5,
