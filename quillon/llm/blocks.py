@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import batches, new_path, shuffle_partitions
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Words that a worker keeps; when full it starts anew.
 CACHE = 500_000
 
