@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import uuid
 import zlib
 
@@ -37,8 +38,9 @@ from .common import batches, cut, documents, drop, new_path, shuffle_partitions,
 
 WINDOW, MIN, MASK, MAX = 8, 64, 255, 1024
 #: Space-separated words that a worker keeps; when full it starts anew.
-CACHE = 500_000
-SEPARATOR = "<|startoftext|>"
+CACHE = 600_000
+#: ASCII marks: neither letters nor digits nor white space.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def digest(data: bytes) -> bytes:
@@ -81,36 +83,60 @@ class WordEncoder:
     """Encodes by the tokenizers library, each ASCII-white-space-separated word once.
 
     The tokenizer drops white space and no match of its pattern holds any, so the words' ids in a row are the
-    text's ids. New words go to the library in one text, between copies of a special token of which the ids then
-    tell where a word ends; a word that holds "<|" goes alone.
+    text's ids. A word that is letters and then ASCII marks is two matches, which are looked up by themselves, the
+    letters with A-Z lowered. New runs of letters go to the library many in a text; a token that ends a word tells
+    where one ends. Should the numbers differ, as with a vocabulary without such tokens, each goes alone, and so
+    does any other word.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.mark = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        lowers = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
+        self.lower = bytes.lower if lowers else bytes
+        self.parts: dict[bytes, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.cache = _Cache()
+        if len(self.parts) > 800_000:
+            self.parts = {}
         self.ids, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _add(self, words: list[bytes]) -> None:
-        out: list = []
-        for k in range(0, len(words), 5000):
-            part = [w.decode() for w in words[k : k + 5000]]
-            plain = [w for w in part if "<|" not in w]
-            ids = self._ids(SEPARATOR.join(["", *plain])) if plain and self.mark is not None else None
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) if ids is not None else ()
-            if len(ends) == len(plain) + 1:
-                each = iter([ids[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)])
+        split, letters = [], {}
+        for w in words:
+            core = self.lower(w.rstrip(MARKS))
+            text = core.decode()
+            if text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha()):
+                split.append((core, w[len(core) :]))
+                if core not in self.parts:
+                    letters[core] = text
             else:
-                each = iter([self._ids(w) for w in plain])
-            out += [self._ids(w) if "<|" in w else next(each) for w in part]
-        self.ids = np.concatenate([self.ids, *out])
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, out), np.int64, len(out))])
+                split.append((w, b""))
+        cores = list(letters.items())
+        for k in range(0, len(cores), 5000):
+            part = cores[k : k + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                self.parts.update((c, data[a:b]) for (c, _), a, b in zip(part, [0, *ends], ends, strict=False))
+            else:
+                self.parts.update((c, self._ids(t).tobytes()) for c, t in part)
+        found = []
+        for pair in split:
+            for x in pair:
+                if x and x not in self.parts:
+                    self.parts[x] = self._ids(x.decode()).tobytes()
+            found.append(self.parts[pair[0]] + self.parts[pair[1]] if pair[1] else self.parts[pair[0]])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found)) // 4])
 
     def encode(self, texts_: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and where each text's begin (one more than texts)."""
