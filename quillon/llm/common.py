@@ -51,7 +51,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: no lineage, exact sizes for AQE, one computation."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.quillon_path = path
     return out

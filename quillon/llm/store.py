@@ -5,15 +5,15 @@ A store is a folder of four tables, written and read by Spark alone:
     chunks/     digest (BLAKE2b, 16 bytes), ids (little-endian, `width` bytes each): every distinct chunk once
     recipes/    root, n_tokens, digests: every distinct id stream once, as its chunks' digests in order
     documents/  part, doc_id, start, n_tokens, root: in ascending doc_id order (null first), part by part
-    manifest/   part, first_doc, last_doc, n_docs, n_ids, root: a Merkle root over each part's documents
+    manifest/   part, first_doc, last_doc, n_docs, n_ids, root, buckets: a Merkle root over each part's documents
 
 A document's root is the Merkle root over its chunks' digests. Reading looks up every recipe's chunks, hashes
 them again, recomputes roots and manifests, and fails on the first that differs.
 
 A chunk ends where the low bits of a hash rolled over the last `WINDOW` ids of the same document are all ones
 (256 ids apart on average), but not before MIN nor after MAX ids, so equal passages give equal chunks wherever
-they stand. Duplicated chunks and recipes are dropped map-side before each shuffle; refs to one hot chunk are
-split by AQE's skew join.
+they stand. Duplicated chunks are dropped map-side before their one shuffle; chunks/ is bucketed by
+digest, so that reading moves the references to the chunks and not the chunks.
 
 Defined results: null text is empty and has only the end id; repeated rows are documents of their own, in a
 stable order; an empty table gives an empty store; other columns of the input are not stored.
@@ -268,7 +268,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
     """Encode documents (doc_id, text) and write them as a store. width: bytes of an id."""
     with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         e = cut(_encoded(docs, f.read(), end, width), "encoded")
-    e.select("digests", "sizes", "ids").mapInArrow(_chunk_rows(width), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).write.parquet(f"{path}/chunks")
+    buckets = shuffle_partitions(docs.sparkSession)
+    e.select("digests", "sizes", "ids").mapInArrow(_chunk_rows(width), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").bucketBy(buckets, "digest").option("path", f"{path}/chunks").format("parquet").saveAsTable(f"quillon_chunks_{uuid.uuid4().hex}")
     e.select("root", "n_tokens", "digests").dropDuplicates(["root"]).write.parquet(f"{path}/recipes")
     small = e.select("doc_id", "n_tokens", "root").repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     small = cut(small, "ordered")
@@ -278,7 +279,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
     running = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root")
     placed = small.withColumn("end", F.sum("n_tokens").over(running.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "part")
     placed.select("part", "doc_id", (F.col("before") + F.col("end") - F.col("n_tokens")).alias("start"), "n_tokens", "root").sortWithinPartitions("part", "start").write.parquet(f"{path}/documents")
-    _manifest(docs.sparkSession.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
+    _manifest(docs.sparkSession.read.parquet(f"{path}/documents")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/manifest")
     drop(e)
     drop(small)
 
@@ -288,8 +289,12 @@ def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = True)
 
     A distinct id stream is put together once, chunk by chunk as the sorted rows come in.
     """
-    docs, recipes, chunks, manifest = (spark.read.parquet(f"{path}/{t}") for t in ("documents", "recipes", "chunks", "manifest"))
-    wrong = _manifest(docs).exceptAll(manifest).count()
+    docs, recipes, manifest = (spark.read.parquet(f"{path}/{t}") for t in ("documents", "recipes", "manifest"))
+    buckets = (manifest.select("buckets").first() or [1])[0]
+    chunks = f"quillon_chunks_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {chunks} (digest BINARY, ids BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/chunks'")
+    chunks = spark.table(chunks)
+    wrong = _manifest(docs).exceptAll(manifest.drop("buckets")).count()
     if wrong:
         raise ValueError(f"{path}: {wrong} parts of documents differ from the manifest")
 
