@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import batches, documents, held_out_column, texts
 
 #: Labelled rows that fitting takes at most.
-SAMPLE = 6000
+SAMPLE = 4000
 SIZE = 1 << 18
 #: Words that a text has besides its own, so that one word of a very short text isn't all of it.
 PRIOR = 10
