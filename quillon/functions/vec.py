@@ -11,6 +11,11 @@ def vector(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once a row, not again for every element of a lambda that uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -29,8 +34,7 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """v divided by its norm; a zero vector stays."""
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    return let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -92,14 +96,13 @@ def argmin(v: Column) -> Column:
 
 
 def one_hot_argmax(v: Column) -> Column:
-    best = argmax(v)
-    return F.transform(v, lambda x, i: F.when(i == best, 1.0).otherwise(0.0))
+    return let(argmax(v), lambda best: F.transform(v, lambda x, i: F.when(i == best, 1.0).otherwise(0.0)))
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    powers = lambda u, top: F.transform(u, lambda x: F.exp((x - top) / temperature))
+    shares = lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return let(v, lambda u: let(let(F.array_max(u), lambda top: powers(u, top)), shares))
 
 
 def count_close(v: Column, value: float, tol: float = 1e-8) -> Column:
@@ -112,9 +115,9 @@ def equals(a: Column, b: Column, tol: float = 1e-8) -> Column:
 
 def variance(v: Column, population: bool = True) -> Column:
     """Null for no elements (and for one, of a sample)."""
-    n = F.size(v)
-    mean = F.try_divide(total(v), n)
-    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)), n if population else n - 1)
+    n = lambda u: F.size(u) if population else F.size(u) - 1
+    squares = lambda u, mean: F.aggregate(u, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    return let(v, lambda u: let(F.try_divide(total(u), F.size(u)), lambda mean: F.try_divide(squares(u, mean), n(u))))
 
 
 def element(v: Column, i) -> Column:
@@ -125,8 +128,7 @@ def element(v: Column, i) -> Column:
 def drop_elements(v: Column, indices: list[int], width: int | None = None) -> Column:
     if width is not None and any(not -width <= i < width for i in indices):
         raise ValueError(f"index out of range for width {width}: {indices}")
-    n = F.size(v)
-    return F.filter(v, lambda _, i: ~_is_in(i, n, indices))
+    return let(F.size(v), lambda n: F.filter(v, lambda _, i: ~_is_in(i, n, indices)))
 
 
 def _is_in(i: Column, n: Column, indices: list[int]) -> Column:

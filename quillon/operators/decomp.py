@@ -39,7 +39,7 @@ class Pca:
 
     def transform(self, v: Column) -> Column:
         centred = vec.axpby(v, F.lit(self.mean.tolist()), 1.0, -1.0)
-        return F.array(*(vec.dot(centred, F.lit(c.tolist())) for c in self.vectors.T))
+        return vec.let(centred, lambda x: F.array(*(vec.dot(x, F.lit(c.tolist())) for c in self.vectors.T)))
 
     def inverse(self, z: Column) -> Column:
         rows = F.array(*(F.lit(r.tolist()) for r in self.vectors))
