@@ -157,7 +157,7 @@ def test_functions(spark, d):
 
 
 @query("""SELECT p_partkey, ltrim('  ' || p_name || chr(9), ' ' || chr(9)) AS l, rtrim('  ' || p_name || chr(9), ' ' || chr(9)) AS r, (p_size + 2 - 3) // 2 + 1 AS conv, p_size::DOUBLE ** 3 AS cube, abs(p_retailprice - 1000) <= 5 AS near,
-CASE WHEN p_partkey * 977 < 1024 THEN (p_partkey * 977) || ' bytes' WHEN p_partkey * 977 < 1048576 THEN printf('%.1f KB', p_partkey * 977 / 1024.0::DOUBLE) ELSE printf('%.1f MB', p_partkey * 977 / 1048576.0::DOUBLE) END AS memory FROM part""")
+CASE WHEN p_partkey * 977 < 1024 THEN (p_partkey * 977) || ' bytes' WHEN p_partkey * 977 < 1048576 THEN printf('%.1f KB', round(p_partkey * 977 / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(p_partkey * 977 / 1048576.0::DOUBLE, 1)) END AS memory FROM part""")
 def scalar_functions(spark, d):
     text = F.concat(F.lit("  "), F.col("p_name"), F.lit("\t"))
     size = F.col("p_size")
