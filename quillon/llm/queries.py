@@ -7,6 +7,7 @@ from .chat import op7
 from .decontaminate import op4
 from .embedding_dedup import op5
 from .ngram_lm import op2
+from .oracles import ORACLES
 from .quality import op8
 from .simhash import op9
 from .store import op10
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_store": op10,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
