@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import batches, documents, held_out_column, texts
 
 #: Labelled rows that fitting takes at most.
-SAMPLE = 4000
+SAMPLE = 7000
 SIZE = 1 << 18
 #: Words that a text has besides its own, so that one word of a very short text isn't all of it.
 PRIOR = 10
@@ -150,8 +150,13 @@ class LabelModel:
         m = v.shape[1]
         toxic, clean = (v == 1).astype(float), (v == -1).astype(float)
         base = np.where(gold == 1, np.log(trust / (1 - trust)), np.where(gold == 0, -np.log(trust / (1 - trust)), 0.0))
-        p = 1 / (1 + np.exp(-(base + np.clip(v.sum(1), -3, 3) - 1)))
-        share = np.ones(m)
+        # voters that nearly always vote alike count as one from the start
+        centred = v - v.mean(0)
+        scale = np.sqrt((centred**2).mean(0)) + 1e-9
+        alike = np.clip(((centred / scale).T @ (centred / scale) / len(v) - 0.8) / 0.2, 0, 1)
+        np.fill_diagonal(alike, 1)
+        first = share = 1 / alike.sum(0)
+        p = 1 / (1 + np.exp(-(base + np.clip(v @ share, -3, 3))))
         for r in range(rounds):
             self.balance = min(0.95, max(0.005, p.mean()))
             a1, a0 = (toxic.T @ p + 1) / (p.sum() + 3), (toxic.T @ (1 - p) + 1) / ((1 - p).sum() + 3)
@@ -159,7 +164,7 @@ class LabelModel:
             if r in (3, 8, 15):  # residual correlations under the present posterior
                 e = (toxic - clean) - (np.outer(p, a1 - b1) + np.outer(1 - p, a0 - b0))
                 s = np.sqrt((e * e).mean(0)) + 1e-9
-                share = 1 / np.maximum(1, np.maximum(0, (e / s).T @ (e / s) / len(e) - 0.05).sum(0))
+                share = np.minimum(first, 1 / np.maximum(1, np.maximum(0, (e / s).T @ (e / s) / len(e) - 0.05).sum(0)))
             self.weights = (np.log(a1 / a0) * share, np.log(b1 / b0) * share)
             score = np.log(self.balance / (1 - self.balance)) + toxic @ self.weights[0] + clean @ self.weights[1] + base
             p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -175,11 +180,13 @@ def fit(rows: list, gold: np.ndarray) -> tuple[np.ndarray, float]:
         return weights, -3.0
     model = LabelModel(votes(rows, induced(rows, gold)), gold)
     flat = np.concatenate([f for f, _, _ in rows])
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
-    x = np.concatenate([n / (words + PRIOR) for _, n, words in rows]) * 100
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _, _ in rows])
+    x = np.concatenate([(n * (100 / (words + PRIOR))).astype(np.float32) for _, n, words in rows])
     often = np.bincount(flat, minlength=SIZE)[flat] >= LEAST
     row, x = row[often], x[often]
     used, of = np.unique(flat[often], return_inverse=True)
+    of = of.astype(np.int32)
+    del flat, often
     w, b, y = np.zeros(len(used)), -2.0, model.posterior
     g2, gb2, m, mb = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
     for t in range(1, 201):  # Adam on the whole sample
@@ -217,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
     """Fit on labelled rows that are not held out (crc32 of the doc_id mod 4 is not 2)."""
     rows = sample(docs, labels, "toxic", lambda c: held_out_column(c, 4, 2), most).mapInArrow(_sampled, "_d long, y int, f binary, n binary, words long").collect()
     rows.sort(key=lambda r: r._d)
-    return fit([(np.frombuffer(r.f, "<u4").astype(np.int64), np.frombuffer(r.n, "<u4").astype(np.int64), r.words) for r in rows], np.array([r.y for r in rows], np.int64))
+    return fit([(np.frombuffer(r.f, "<i4"), np.frombuffer(r.n, "<i4"), r.words) for r in rows], np.array([r.y for r in rows], np.int64))
 
 
 class _Weights(dict):
