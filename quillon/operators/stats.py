@@ -21,7 +21,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     x = df.select(value.cast("double").alias("x")).where("x is not null")
     ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    at = F.coalesce(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("x") - F.col("lo"), width))), F.lit(0)).cast("int")
+    at = F.when(width == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("x") - F.col("lo"), width)))).cast("int")
     counts = x.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # ends: one row
     grid = ends.select("lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"))
