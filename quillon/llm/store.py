@@ -38,7 +38,7 @@ from .common import batches, cut, documents, drop, new_path, shuffle_partitions,
 
 WINDOW, MIN, MASK, MAX = 8, 64, 255, 1024
 #: Space-separated words that a worker keeps; when full it starts anew.
-CACHE = 600_000
+CACHE = 500_000
 #: ASCII marks: neither letters nor digits nor white space.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -101,7 +101,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.cache = _Cache()
-        if len(self.parts) > 800_000:
+        if len(self.parts) > CACHE:
             self.parts = {}
         self.ids, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
 
