@@ -61,12 +61,12 @@ class KMeans:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.array(n), pa.array(cost), pa.array(list(total), pa.list_(pa.float64()))], ["k", "n", "cost", "total"])
 
         parts = data.mapInArrow(run, "k long, n long, cost double, total array<double>")
-        sums = [F.sum(F.element_at("total", j + 1)).alias(f"t{j}") for j in range(c.shape[1])]
+        by = parts.select("k", "n", "cost", F.posexplode("total").alias("j", "v")).groupBy("k", "j").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("v").alias("v"))
         new, cost = c.copy(), 0.0
-        for r in parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).collect():  # k rows
-            cost += r.cost
+        for r in by.collect():  # k x d rows
+            cost += r.cost if r.j == 0 else 0.0
             if r.n:
-                new[r.k] = [r[f"t{j}"] / r.n for j in range(c.shape[1])]
+                new[r.k, r.j] = r.v / r.n
         moved = float(np.sqrt(((new - c) ** 2).sum(1)).sum())
         self.centroids = new
         self.inertia.append(cost)
