@@ -6,6 +6,8 @@ two forms, rows (row_id, features ARRAY<DOUBLE>) and entries (i, j, v).
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -127,6 +129,24 @@ def find_last(df: DataFrame, cond: Column, row_id: str = "row_id") -> DataFrame:
     return df.agg(F.coalesce(F.max(F.when(cond, F.col(row_id))), F.lit(-1)).alias("last"))
 
 
+def find_random(df: DataFrame, cond: Column, n: int, row_id: str = "row_id", seed: int = 0) -> DataFrame:
+    """found: the first match at or after a random row of n, else the last before it; -1 if none."""
+    k = int(hashlib.md5(f"0:{seed}".encode()).hexdigest()[:8], 16) % max(1, n)
+    after, before = F.min(F.when(cond & (F.col(row_id) >= k), F.col(row_id))), F.max(F.when(cond & (F.col(row_id) < k), F.col(row_id)))
+    return df.agg(F.coalesce(after, before, F.lit(-1)).alias("found"))
+
+
+def rearrange(df: DataFrame, index: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """index (part, pos, row_id): the rows of part after part, each in its order of pos."""
+    placed = number_rows(index, F.col("part"), F.col("pos"), name="_new").select(F.col("_new").alias("pos"), row_id)
+    return gather(df, placed, row_id)
+
+
+def cube_sum(e: DataFrame) -> DataFrame:
+    """(y, x, v): slices (z, y, x, v) added up."""
+    return e.groupBy("y", "x").agg(F.sum("v").alias("v"))
+
+
 # ---------------------------------------------------------------- matrices
 
 

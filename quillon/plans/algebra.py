@@ -236,3 +236,15 @@ s AS (SELECT row_id, max(CASE WHEN own = c THEN t / nullif(n - 1, 0) END) AS a,
 SELECT row_id, round(CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS s FROM s""")
 def silhouette(spark, d):
     return metrics.silhouette(vectors(spark, d), DIM, cluster="label").withColumn("s", r6("s"))
+
+
+@query("SELECT doc_id, round((quality * quality + toxic * quality) / nullif(quality + toxic, 0), 6) AS share FROM labels")
+def multilabel_accuracy(spark, d):
+    """Of a document's two labels those that a prediction (quality, quality) hits."""
+    actual, predicted = F.array("quality", "toxic"), F.array("quality", "quality")
+    return table(spark, d, "labels").select("doc_id", F.round(metrics.multilabel_accuracy(actual, predicted), 6).alias("share"))
+
+
+@query("SELECT round(min(value), 6) AS worst, round(avg(value), 6) AS mean, round(max(value), 6) AS best FROM events")
+def population_stats(spark, d):
+    return stats.population(table(spark, d, "events"), "value").select(*(F.round(c, 6).alias(c) for c in ("worst", "mean", "best")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import rng, vec
 from quillon.operators import frame, preproc, sample
 
-from .registry import UNIFORM, VECTORS, query, r6, table, uniform, vectors
+from .registry import ENTRIES, VECTORS, query, r6, table, uniform, vectors
 
 
 @query("SELECT doc_id FROM labels WHERE toxic = 1")
@@ -219,3 +219,22 @@ def onehot_drop_first(spark, d):
 @query(f"SELECT row_id, (generate_subscripts(features, 1) - 1)::INTEGER AS j, round(unnest(features) / 255 - 0.5, 6) + 0.0 AS v FROM {VECTORS}")
 def pixel_scale(spark, d):
     return vectors(spark, d).select("row_id", F.posexplode(preproc.pixels(F.col("features"))).alias("j", "v")).withColumn("v", r6("v"))
+
+
+@query("""WITH k AS (SELECT ('0x' || substr(md5('0:5'), 1, 8))::BIGINT % (SELECT count(*) FROM events) AS k)
+SELECT coalesce(min(event_id) FILTER (event_type = 'purchase' AND event_id >= k), max(event_id) FILTER (event_type = 'purchase' AND event_id < k), -1) AS found FROM events, k""")
+def find_random(spark, d):
+    e = table(spark, d, "events")
+    return frame.find_random(e, F.col("event_type") == "purchase", e.count(), "event_id", 5)
+
+
+@query("SELECT row_number() OVER (ORDER BY p_size % 3, p_partkey) - 1 AS row_id, p_name FROM part")
+def rearrange(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), "p_name", "p_size")
+    return frame.rearrange(p.select("row_id", "p_name"), p.select((F.col("p_size") % 3).alias("part"), F.col("row_id").alias("pos"), "row_id"))
+
+
+@query(f"SELECT (j // 8)::BIGINT AS y, (j % 8)::BIGINT AS x, round(sum(v), 6) + 0.0 AS v FROM {ENTRIES} GROUP BY 1, 2")
+def cube_sum(spark, d):
+    e = frame.entries(vectors(spark, d)).select(F.col("i").alias("z"), F.floor(F.col("j") / 8).alias("y"), (F.col("j") % 8).cast("long").alias("x"), "v")
+    return frame.cube_sum(e).withColumn("v", r6("v"))
