@@ -39,6 +39,8 @@ ROWS = BUCKETS + SHAPES
 #: Words that a worker keeps; when full it starts anew.
 CACHE = 500_000
 SLICE = 1028
+#: Bytes of texts whose words' vectors fit a processor's cache.
+CHUNK = 1 << 18
 
 
 def index_vectors() -> np.ndarray:
@@ -92,7 +94,7 @@ def add_contexts(total: np.ndarray, vectors: np.ndarray, found: list[bytes]) ->
         near[k:] += own[:-k] * same
         near[:-k] += own[k:] * same
     for rows in (core, shape):
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
         at = np.flatnonzero(np.diff(rows[order], prepend=-1))
         if len(at):
             total[rows[order][at]] += np.add.reduceat(near[order], at, axis=0)
@@ -163,7 +165,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(arrow):
         total, vectors = np.zeros((ROWS, DIM), np.float32), index_vectors()
-        for b in batches(arrow, 1 << 20):
+        for b in batches(arrow, CHUNK):
             add_contexts(total, vectors, texts(b))
         for i in range(0, ROWS, SLICE):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE], pa.int32()), "data": pa.array([zlib.compress(total[i : i + SLICE].tobytes(), 1)], pa.binary())})
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = S
     sent, name = docs.sparkSession.sparkContext.broadcast(vectors), uuid.uuid4().hex
 
     def run(arrow):
-        for b in batches(arrow, 1 << 20):
+        for b in batches(arrow, CHUNK):
             x = pooled(_table(name, sent), texts(b))
             yield pa.RecordBatch.from_pydict({"_d": b.column("_d"), "y": b.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -217,7 +219,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, text: str = "t
     schema = to_arrow_schema(out)
 
     def run(arrow):
-        for b in batches(arrow, 1 << 20):
+        for b in batches(arrow, CHUNK):
             v, net = _table(name, sent)
             found = net(pooled(v, texts(b, text)).astype(float))
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, schema, strict=False)), pa.array(found, pa.float64())], schema=schema)
