@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches, new_path, shuffle_partitions
+from .common import batches, enter, new_path, register, shuffle_partitions
 
 BLOCK = 8 << 20
 #: Words that a worker keeps; when full it starts anew.
@@ -94,10 +94,12 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+register("blocks", _words)
 
 
 def word_hashes(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and where each text's begin (one more than texts)."""
+    enter("blocks")
     if len(_words) > CACHE:
         _words.clear()
     counts = np.fromiter(map(len, split), np.int64, len(split))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches, documents
+from .common import batches, documents, enter, register
 
 LONG = 1024
 #: Units that a worker keeps; when full it starts anew.
@@ -258,10 +258,12 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 _models: dict[str, ByteBpe] = {}
+register("byte_bpe", _models)
 
 
 def _model(name: str, sent, pattern: str) -> ByteBpe:
     """This worker process's model, kept with its cache from task to task."""
+    enter("byte_bpe")
     if name not in _models:
         _models.clear()
         _models[name] = ByteBpe(read_ranks(sent.value), pattern)

@@ -108,6 +108,25 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         seen = tuple(total)
 
 
+# ---------------------------------------------------------------- caches of worker processes
+
+_caches: dict[str, tuple[dict, ...]] = {}
+
+
+def register(owner: str, *caches: dict) -> None:
+    """Dictionaries that an operator keeps in a worker process from task to task."""
+    _caches[owner] = caches
+
+
+def enter(owner: str) -> None:
+    """Called where an operator uses its caches: those of all others are emptied, as workers serve one operator
+    after another."""
+    for name, caches in _caches.items():
+        if name != owner:
+            for c in caches:
+                c.clear()
+
+
 # ---------------------------------------------------------------- batches
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches, cut, documents, drop, texts
+from .common import batches, cut, documents, drop, enter, register, texts
 
 #: A-Z to a-z, other bytes below 128 that are not letters or digits to a space.
 NORMAL = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -95,9 +95,11 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
 
 #: The automaton that this worker process has built, by the name of its broadcast.
 _built: dict[str, ahocorasick.Automaton | None] = {}
+register("decontaminate", _built)
 
 
 def _automaton(name: str, sent) -> ahocorasick.Automaton | None:
+    enter("decontaminate")
     if name not in _built:
         _built.clear()
         _built[name] = automaton(sent.value) if sent.value else None

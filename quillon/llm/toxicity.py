@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches, documents, held_out_column, texts
+from .common import batches, documents, enter, held_out_column, register, texts
 
 #: Labelled rows that fitting takes at most.
 SAMPLE = 7000
@@ -44,7 +44,7 @@ PRIOR = 10
 #: Texts of the sample that must have a feature for it to get a weight.
 LEAST = 5
 #: Words that a worker keeps; when full it starts anew.
-CACHE = 500_000
+CACHE = 250_000
 #: Induced voters at most.
 INDUCED = 60
 
@@ -84,10 +84,12 @@ class _Features(dict):
 
 
 _known = _Features()
+register("toxicity features", _known)
 
 
 def counts(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """Features of a text, how often each, and the number of words."""
+    enter("toxicity features")
     if len(_known) > CACHE:
         _known.clear()
     w = text.split()
@@ -239,9 +241,11 @@ class _Weights(dict):
 
 
 _scorers: dict[str, _Weights] = {}
+register("toxicity", _scorers)
 
 
 def _scores(name: str, weights: np.ndarray, bias: float, found: list[bytes]) -> np.ndarray:
+    enter("toxicity")
     if name not in _scorers:
         _scorers.clear()
         _scorers[name] = _Weights(weights)
