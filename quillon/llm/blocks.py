@@ -27,8 +27,9 @@ BLOCK = 8 << 20
 CACHE = 500_000
 
 
-def pack(df: DataFrame, most: int = BLOCK) -> DataFrame:
-    """(block, data): the rows of df as compressed Arrow batches of about `most` bytes, bucketed by block."""
+def pack(df: DataFrame, most: int = BLOCK, encode=None) -> DataFrame:
+    """(block, data): the rows of df as compressed Arrow batches of about `most` bytes, bucketed by block; or what
+    encode(table) makes of each."""
     spark, schema = df.sparkSession, to_arrow_schema(df.schema)
 
     def run(arrow):
@@ -43,10 +44,11 @@ def pack(df: DataFrame, most: int = BLOCK) -> DataFrame:
             yield out(held)
 
     def out(held):
+        table = pa.Table.from_batches(held, schema)
+        table = table if encode is None else encode(table)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            for b in held:
-                w.write_batch(b)
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
         return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     name = f"quillon_blocks_{uuid.uuid4().hex}"

@@ -1,19 +1,21 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model, counted and looked up in shards.
+"""Language-model scores: an interpolated modified Kneser-Ney model, counted and looked up in shards, order by order.
 
-Round 1: each block of documents sends its distinct bigrams, with their counts in training documents, to the
-shard of their first word. A shard adds them up to sorted hash arrays (contexts; words; counts) and answers each
-block for its bigrams: the count, and the context's total and numbers of continuations seen once, twice, more
-often. It sends every word's number of contexts and count on to the word's shard. Round 2: blocks ask the words'
-shards for both. Round 3: with all answers at hand, and the discounts from a few totals that the driver adds up,
-a block computes the probabilities of its distinct bigrams and adds their logarithms up by document.
+A round for each order from the highest (3 for op2) to 2: each block of documents sends its distinct n-grams to the
+shards of their contexts, in the highest order with their counts in training documents. A shard adds them up to
+sorted hash arrays (contexts; words; counts) and answers each block for its n-grams: the count, and the context's
+total and numbers of continuations seen once, twice, more often. It sends the numbers of distinct n-grams by what
+is left of them without their first word on to the shards of the next order, where they are the counts; those of
+order 2 go by word. Then blocks send their words with their counts to the words' shards and ask for counts and
+numbers of contexts. Last, with all answers at hand, and the discounts from a few totals that the driver adds up,
+a block computes the probabilities of its distinct n-grams and adds their logarithms up by document.
 
 While it answers, a shard holds its arrays in a memory-mapped file that is deleted as soon as it is mapped, and
 takes one block's question at a time. The model grows with the corpus and is never sent to the driver or
 broadcast. Identities are hashes: 48 bits for a word, the shard and 40 bits for a context (about two in a million
 contexts share theirs, at every size, as shards grow in number, not in size).
 
-The order is 2: at three the questions alone, nearly all of them trigrams seen once, would take more than the
-texts' own room on disk.
+Before a text stand as many start tokens as contexts have words. Texts are split once, to blocks of word numbers. A
+round takes several passes over ranges of shards; what a pass shuffled is dropped after it.
 
 Defined results: null text is empty, and so is one end token; a null doc_id is training data; without training
 documents every token is as likely as any; repeated rows are scored and counted each; other columns are ignored.
@@ -21,9 +23,12 @@ documents every token is as likely as any; repeated rows are scored and counted
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import pickle
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ask, mix, pack, shard_slices, word_hashes
-from .common import LOWER, cut, documents, held_out, shuffle_partitions
+from .common import LOWER, cut, documents, enter, held_out, shuffle_partitions
 
 END, START = b"\n", np.uint64(0x9E6C63D0876A9A47)
 SALT = np.uint64(0xD6E8FEB86659FD93)
+#: Passes of a round over the shards.
+PASSES = 6
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -89,48 +96,102 @@ def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def trim() -> None:
+    """Give back what a worker holds from earlier tasks: words of blocks, and freed arrays that the C library keeps."""
+    enter("ngram_lm")
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- a block
 
 
-class Block:
-    """Distinct bigrams of a block, sorted by context and word, the same whenever they are computed."""
+class Grams:
+    """Distinct n-grams, sorted by context and word; `suffix` is the context without its first word, if any."""
 
-    def __init__(self, table: pa.Table, mod: int, remainder: int):
-        self.ids = table.column("doc_id").to_pylist()
-        split = [[*(x or b"").translate(LOWER).split(), END] for x in table.column("text").cast(pa.binary()).to_pylist()]
-        h, bounds = word_hashes(split)
-        self.n = np.diff(bounds)
-        self.held = np.array([held_out(i, mod, remainder) for i in self.ids], bool)
-        word = mix(h)
-        context = np.empty_like(word)
-        context[1:] = mix(word[:-1] ^ SALT)
-        context[bounds[:-1]] = START
-        word >>= np.uint64(16)
+    def __init__(self, context: np.ndarray, word: np.ndarray, trained: np.ndarray, suffix: np.ndarray | None):
         order = np.lexsort((word, context))
         context, word = context[order], word[order]
         at = runs(context, word)
         self.gram = np.empty(len(order), np.int64)
         self.gram[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
-        trained = np.repeat(~self.held, self.n)[order]
-        self.count = add_up(trained.astype(np.int64), at)
-        self.context, self.word = context[at], word[at]
-        first = runs(self.context)
-        self.contexts, self.sizes = self.context[first], np.diff(np.append(first, len(self.context)))
-        self.first = np.append(first, len(self.context))
-        self.words, self.word_of = np.unique(self.word, return_inverse=True)
-
-    def context_slices(self, shards: int):
-        """(shard, contexts from, to, bigrams from, to)"""
+        self.count = add_up(trained[order].astype(np.int64), at)
+        self.word = word[at]
+        first = runs(context[at])
+        self.contexts = context[at][first]
+        self.first = np.append(first, len(at))
+        self.sizes = np.diff(self.first)
+        self.suffix = None if suffix is None else suffix[order[at[first]]]
+
+    def slices(self, shards: int):
+        """(shard, contexts from, to, n-grams from, to)"""
         return [(s, a, b, int(self.first[a]), int(self.first[b])) for s, a, b in shard_slices(self.contexts, shards)]
 
-    def word_slices(self, shards: int):
-        return shard_slices(self.words << np.uint64(16), shards)
+    def messages(self, shards: int, counts: bool):
+        """(shard, message); without counts it only asks."""
+        for s, c0, c1, g0, g1 in self.slices(shards):
+            words, which = np.unique(self.word[g0:g1], return_inverse=True)
+            suffixes, of = (np.empty(0, np.uint64),) * 2 if self.suffix is None else np.unique(self.suffix[c0:c1], return_inverse=True)
+            count = self.count[g0:g1] if counts else np.zeros(g1 - g0, np.int64)
+            yield s, squeeze(*cut_bits(self.contexts[c0:c1], 40), small(self.sizes[c0:c1]), *cut_bits(words, 48), small(which), small(count), suffixes, small(of))
+
+
+def encode(table: pa.Table) -> pa.Table:
+    """Of texts: ids, which of them are null, numbers of tokens, distinct words in order, and which each token is."""
+    split = [[*(x or b"").translate(LOWER).split(), END] for x in table.column("text").cast(pa.binary()).to_pylist()]
+    h, bounds = word_hashes(split)
+    words, which = np.unique(mix(h), return_inverse=True)
+    ids = table.column("doc_id")
+    return pa.table({"tokens": pa.array([squeeze(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), np.diff(bounds), words, small(which))], pa.binary())})
+
+
+class Block:
+    """Words and n-grams of a block, the same whenever they are computed."""
+
+    def __init__(self, table: pa.Table, mod: int, remainder: int):
+        trim()
+        ids, null, self.n, words, which = unsqueeze(table.column("tokens")[0].as_py())
+        self.ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)]
+        first = np.cumsum(self.n) - self.n
+        self.place = np.arange(len(which)) - np.repeat(first, self.n)
+        self.held = np.array([held_out(i, mod, remainder) for i in self.ids], bool)
+        self.trained = np.repeat(~self.held, self.n)
+        self.before = np.empty(len(which), np.uint64)
+        self.before[1:] = mix(words ^ SALT)[which[:-1]]
+        self.before[first] = START
+        self.words, self.which = words >> np.uint64(16), which
+        self.word = self.words[which]
+
+    def context(self, length: int) -> np.ndarray:
+        """Of the `length` words before each word."""
+        out = self.before
+        for back in range(1, length):
+            older = np.full(len(out), START)
+            older[back:] = self.before[:-back]
+            older[self.place < back] = START
+            out = mix(mix(out) ^ older)
+        return out
+
+    def grams(self, length: int, among: tuple[int, int, int] | None = None) -> Grams:
+        """N-grams of contexts of `length` words; among (shards, from, to): those of some shards."""
+        context, suffix = self.context(length), self.context(length - 1) if length > 1 else None
+        if among is None:
+            return Grams(context, self.word, self.trained, suffix)
+        shards, first, end = among
+        of = ((context >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        some = np.flatnonzero((of >= first) & (of < end))
+        return Grams(context[some], self.word[some], self.trained[some], None if suffix is None else suffix[some])
+
+
+def word_slices(words: np.ndarray, shards: int):
+    return shard_slices(words << np.uint64(16), shards)
 
 
 # ---------------------------------------------------------------- shards
 
 ROW = "kind int, shard int, block long, data binary"
-TO_BLOCK, TO_WORDS, TOTALS = 0, 1, 2
+TO_BLOCK, BELOW, TOTALS = 0, 1, 2
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -143,8 +204,12 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.array([(x == i).sum() for i in (1, 2, 3, 4)], np.int64)
 
 
-def _count_bigrams(shards: int):
+def _count_grams(shards: int, length: int):
+    """Questions of blocks, and counts from the shards of the order above (block -1), to answers, counts for the
+    order below and totals."""
+
     def run(table: pa.Table) -> pa.Table:
+        trim()
         asked = [(s, b, unsqueeze(d)) for s, b, d in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
         context = np.concatenate([np.repeat(join_bits(q[0], q[1]), q[2]) for _, _, q in asked])
         word = np.concatenate([join_bits(q[3], q[4])[q[5]] for _, _, q in asked])
@@ -156,50 +221,51 @@ def _count_bigrams(shards: int):
         first = runs(context)
         total = add_up(count, first)
         n = [add_up((count == 1).astype(np.int64), first), add_up((count == 2).astype(np.int64), first), add_up((count > 2).astype(np.int64), first)]
-        # a bigram's place is told by its context's first place and the word, both sorted
-        contexts, starts, context_total, n1, n2, n3, words, counts = mapped(context[first], np.append(first, len(context)), total, *n, word, count)
-        out = []
+        # an n-gram's place is told by its context's first place and the word, both sorted
+        contexts, starts, context_total, n1, n2, n3, words, counts = mapped(context[first], small(np.append(first, len(context))), *map(small, (total, *n)), word, small(count))
+        totals = _ones(count)
+        del context, word, count, order, at, first, total, n
+        suffix = np.zeros(len(contexts), np.uint64)
+        out = [(TOTALS, 0, -1, squeeze(totals))]
         for s, block, q in asked:
+            if block < 0:
+                continue
             c = np.searchsorted(contexts, join_bits(q[0], q[1]))
-            lo, hi = starts[c].repeat(q[2]), starts[c + 1].repeat(q[2])
+            if length > 1:
+                suffix[c] = q[7][q[8]]
+            lo, hi = starts[c].astype(np.int64).repeat(q[2]), starts[c + 1].astype(np.int64).repeat(q[2])
             w = join_bits(q[3], q[4])[q[5]]
             while (open_ := lo < hi).any():  # binary search within the contexts, all at once
                 mid = (lo + hi) >> 1
                 less = open_ & (words[np.minimum(mid, len(words) - 1)] < w)
                 lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
             out.append((TO_BLOCK, s, block, squeeze(small(counts[lo]), *(small(x[c]) for x in (context_total, n1, n2, n3)))))
-        order = np.argsort(word, kind="stable")
-        word, count = word[order], count[order]
-        at = runs(word)
-        known, raw, kinds = word[at], add_up(count, at), add_up((count > 0).astype(np.int64), at)
-        some = raw > 0
-        known, raw, kinds = known[some], raw[some], kinds[some]
-        for s, a, b in shard_slices(known << np.uint64(16), shards):
-            out.append((TO_WORDS, s, -1, squeeze(*cut_bits(known[a:b], 48), small(raw[a:b]), small(kinds[a:b]))))
-        out.append((TOTALS, 0, -1, squeeze(_ones(count))))
+        seen = counts > 0
+        if length > 1:
+            below = Grams(np.repeat(suffix, np.diff(starts))[seen], words[seen], np.ones(seen.sum(), bool), None)
+            out += [(BELOW, s, -1, data) for s, data in below.messages(shards, True)]
+        else:
+            known, kinds = np.unique(words[seen], return_counts=True)
+            out += [(BELOW, s, -1, squeeze(*cut_bits(known[a:b], 48), small(np.zeros(b - a, np.int64)), small(kinds[a:b]))) for s, a, b in word_slices(known, shards)]
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    rows = list(zip(table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True))
-    parts = [unsqueeze(d) for k, _, _, d in rows if k == TO_WORDS]
-    empty = np.empty(0, np.int64)
-    word = np.concatenate([np.empty(0, np.uint64), *(join_bits(p[0], p[1]) for p in parts)])
-    raw, kinds = (np.concatenate([empty, *(p[i].astype(np.int64) for p in parts)]) for i in (2, 3))
+    """Words with counts of blocks, and with numbers of contexts, to answers and totals."""
+    rows = [(s, b, unsqueeze(d)) for s, b, d in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
+    word = np.concatenate([join_bits(p[0], p[1]) for _, _, p in rows])
+    raw = np.concatenate([p[2].astype(np.int64) for _, _, p in rows])
+    kinds = np.concatenate([p[3].astype(np.int64) if len(p) > 3 else np.zeros(len(p[0]), np.int64) for _, _, p in rows])
     order = np.argsort(word, kind="stable")
     at = runs(word[order])
     words, raw, kinds = mapped(word[order][at], add_up(raw[order], at), add_up(kinds[order], at))
-    out = [(TOTALS, 0, -1, squeeze(_ones(kinds), np.array([len(words), raw.sum(), kinds.sum(), (kinds > 2).sum()], np.int64)))]
-    for k, s, block, d in rows:
-        if k == TO_BLOCK:
-            w = join_bits(*unsqueeze(d))
-            i = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-            hit = words[i] == w if len(words) else np.zeros(len(w), bool)
-            r, c = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-            r[hit], c[hit] = raw[i[hit]], kinds[i[hit]]
-            out.append((TO_BLOCK, s, block, squeeze(small(r), small(c))))
+    out = [(TOTALS, 0, -1, squeeze(_ones(kinds), np.array([(raw > 0).sum(), raw.sum(), kinds.sum(), (kinds > 2).sum()], np.int64)))]
+    for s, block, p in rows:
+        if block >= 0:
+            i = np.searchsorted(words, join_bits(p[0], p[1]))
+            out.append((TO_BLOCK, s, block, squeeze(small(raw[i]), small(kinds[i]))))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -223,8 +289,9 @@ def _less(count: np.ndarray, d: tuple) -> np.ndarray:
 class Model:
     """What is the same for all texts."""
 
-    def __init__(self, bigrams: np.ndarray, words: np.ndarray, totals: np.ndarray):
-        self.two, self.one = discounts(bigrams), discounts(words)
+    def __init__(self, grams: list[np.ndarray], words: np.ndarray, totals: np.ndarray):
+        """grams: by length of contexts, from one word on."""
+        self.more, self.one = [discounts(x) for x in grams], discounts(words)
         self.v, self.n, self.kinds, more = (int(x) for x in totals)
         self.rest = self.one[0] * float(words[0]) + self.one[1] * float(words[1]) + self.one[2] * more
 
@@ -234,64 +301,97 @@ class Model:
             return np.full(len(kinds), 1 / (self.v + 1))
         return (np.maximum(kinds - _less(kinds, self.one), 0) + self.rest / (self.v + 1)) / self.kinds
 
-    def bigram(self, count, total, n1, n2, n3, lower) -> np.ndarray:
-        seen = np.maximum(total, 1)
-        left = np.where(total > 0, (self.two[0] * n1 + self.two[1] * n2 + self.two[2] * n3) / seen, 1.0)
-        return np.maximum(count - _less(count, self.two), 0) / seen + left * lower
+    def longer(self, length: int, count, total, n1, n2, n3, lower) -> np.ndarray:
+        """Of n-grams with contexts of `length` words, from what they are without the first."""
+        seen, d = np.maximum(total, 1), self.more[length - 1]
+        left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / seen, 1.0)
+        return np.maximum(count - _less(count, d), 0) / seen + left * lower
 
     def base(self, raw: np.ndarray) -> np.ndarray:
         return np.log10((raw + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 10, remainder: int = 0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row; learns
-    from rows whose crc32(doc_id as text) mod `mod` is not `remainder`."""
+def _counted(asked: DataFrame, count, name: str) -> DataFrame:
+    """Messages counted by shard, in a table."""
+    return cut(asked.groupBy("shard").applyInArrow(count, ROW), name)
+
+
+def _totals(counted: DataFrame) -> list[np.ndarray]:
+    """What the shards' totals add up to: one row of a few numbers from each."""
+    rows = [unsqueeze(r.data) for r in counted.where(F.col("kind") == TOTALS).select("data").collect()]
+    return [sum(x, np.zeros(4, np.int64)) for x in zip(*rows, strict=True)] or [np.zeros(4, np.int64)] * 2
+
+
+def _release(spark: SparkSession) -> None:
+    """Spark deletes files of shuffles once nothing refers to them, which it else finds out only by chance."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int = 10, remainder: int = 0, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row, by n-grams
+    of up to `order` (2 or more) words; learns from rows whose crc32(doc_id as text) mod `mod` is not `remainder`."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     shards = shuffle_partitions(spark)
-    blocks = pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    blocks = pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), encode=encode)
 
-    def bigrams(number, table, _):
-        b = Block(table, mod, remainder)
-        for s, c0, c1, g0, g1 in b.context_slices(shards):
-            words, which = np.unique(b.word[g0:g1], return_inverse=True)
-            yield _rows([(TO_BLOCK, s, number, squeeze(*cut_bits(b.contexts[c0:c1], 40), small(b.sizes[c0:c1]), *cut_bits(words, 48), small(which), small(b.count[g0:g1])))])
+    def grams(length, first, end):
+        def send(number, table, _):
+            for s, data in Block(table, mod, remainder).grams(length, (shards, first, end)).messages(shards, length == order - 1):
+                yield _rows([(TO_BLOCK, s, number, data)])
+
+        return send
 
     def words(number, table, _):
         b = Block(table, mod, remainder)
-        for s, i, j in b.word_slices(shards):
-            yield _rows([(TO_BLOCK, s, number, squeeze(*cut_bits(b.words[i:j], 48)))])
-
-    first = cut(ask(blocks, None, bigrams, ROW).groupBy("shard").applyInArrow(_count_bigrams(shards), ROW), "bigrams")
-    asked = first.where(F.col("kind") == TO_WORDS).unionByName(ask(blocks, None, words, ROW))
-    second = cut(asked.groupBy("shard").applyInArrow(_count_words, ROW), "words")
-    # one row of a few numbers from each shard
-    ones = [unsqueeze(r.data) for r in first.where(F.col("kind") == TOTALS).select("data").collect()]
-    more = [unsqueeze(r.data) for r in second.where(F.col("kind") == TOTALS).select("data").collect()]
-    none = np.zeros(4, np.int64)
-    model = Model(sum((x[0] for x in ones), none), sum((x[0] for x in more), none), sum((x[1] for x in more), none))
+        known, which = b.words, b.which
+        raw = np.bincount(which[b.trained], minlength=len(known))
+        for s, i, j in word_slices(known, shards):
+            yield _rows([(TO_BLOCK, s, number, squeeze(*cut_bits(known[i:j], 48), small(raw[i:j])))])
+
+    rounds = {}
+    for length in range(order - 1, -1, -1):
+        passes = min(shards, PASSES) if length else 1
+        done = []
+        for k in range(passes):
+            first, end = shards * k // passes, shards * (k + 1) // passes
+            asked = ask(blocks, None, grams(length, first, end) if length else words, ROW)
+            if length < order - 1:
+                asked = asked.unionByName(rounds[length + 1].where((F.col("kind") == BELOW) & (F.col("shard") >= first) & (F.col("shard") < end)))
+            done.append(_counted(asked, _count_grams(shards, length) if length else _count_words, f"grams{length}"))
+            del asked
+            _release(spark)
+        rounds[length] = reduce(DataFrame.unionByName, done)
+    model = Model([_totals(rounds[length])[0] for length in range(1, order)], *_totals(rounds[0]))
 
     def scored(_, table, answers):
         b = Block(table, mod, remainder)
-        raw, kinds = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
-        for s, i, j in b.word_slices(shards):
-            raw[i:j], kinds[i:j] = unsqueeze(answers[(2, s)])
-        lower = model.unigram(kinds)[b.word_of]
-        log = np.empty(len(b.word))
-        for s, _c0, _c1, g0, g1 in b.context_slices(shards):
-            count, *context = unsqueeze(answers[(1, s)])
-            log[g0:g1] = np.log10(model.bigram(count.astype(np.int64), *(np.repeat(x.astype(np.int64), b.sizes[_c0:_c1]) for x in context), lower[g0:g1]))
+        known, gram = b.words, b.which
+        raw, kinds = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        for s, i, j in word_slices(known, shards):
+            raw[i:j], kinds[i:j] = unsqueeze(answers[(0, s)])
+        own, p = raw[gram], model.unigram(kinds)
+        for length in range(1, order):
+            g = b.grams(length)
+            lower = np.empty(len(g.word))
+            lower[g.gram] = p[gram]
+            p, gram = np.empty(len(g.word)), g.gram
+            for s, c0, c1, g0, g1 in g.slices(shards):
+                count, *context = unsqueeze(answers[(length, s)])
+                p[g0:g1] = model.longer(length, count.astype(np.int64), *(np.repeat(x.astype(np.int64), g.sizes[c0:c1]) for x in context), lower[g0:g1])
         doc = np.repeat(np.arange(len(b.n)), b.n)
-        own = raw[b.word_of][b.gram]
-        total = np.bincount(doc, log[b.gram], len(b.n))
+        total = np.bincount(doc, np.log10(p)[gram], len(b.n))
         yield pa.RecordBatch.from_arrays([
             pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.n, pa.int64()), pa.array(np.bincount(doc, own > 0, len(b.n)).astype(np.int64)),
             pa.array([model.n] * len(b.n), pa.int64()), pa.array(np.bincount(doc, model.base(own), len(b.n))), pa.array(total), pa.array(10 ** np.minimum(-total / b.n, 300)),
         ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    answers = [t.where(F.col("kind") == TO_BLOCK).select("block", F.lit(r).alias("round"), "shard", F.col("data").alias("answer")) for r, t in ((1, first), (2, second))]
-    return ask(blocks, answers[0].unionByName(answers[1]), scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    answers = [t.where(F.col("kind") == TO_BLOCK).select("block", F.lit(r).alias("round"), "shard", F.col("data").alias("answer")) for r, t in rounds.items()]
+    return ask(blocks, reduce(DataFrame.unionByName, answers), scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (and perplexity) of every document."""
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), order=3)

@@ -91,3 +91,53 @@ def test_language_model(spark, hard, empty):
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-4)
     assert ngram_lm.score(empty).count() == 0
+
+
+def _kneser_ney_of(tokens, held, order):
+    """Probability of a word after a context, by definition, from dictionaries."""
+    counts = [collections.Counter() for _ in range(order)]
+    for t, h in zip(tokens, held, strict=True):
+        padded = ["<s>"] * (order - 1) + t
+        if not h:
+            counts[-1].update(tuple(padded[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k - 1].update(g[1:] for g in counts[k])
+    d = [ngram_lm.discounts(np.array([list(c.values()).count(i) for i in (1, 2, 3, 4)])) for c in counts]
+    after = [collections.defaultdict(list) for _ in range(order)]
+    for k in range(order):
+        for g, n in counts[k].items():
+            after[k][g[:-1]].append(n)
+    v = len(counts[0])
+
+    def p(gram):
+        k = len(gram) - 1
+        lower = p(gram[1:]) if k else 1 / (v + 1)
+        seen = after[k].get(gram[:-1], ())
+        if not seen:
+            return lower
+        n = counts[k][gram]
+        return (max(n - (d[k][min(n, 3) - 1] if n else 0), 0) + sum(d[k][min(x, 3) - 1] for x in seen) * lower) / sum(seen)
+
+    return {g[0] for g in counts[0]}, p
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_longer_contexts(spark, hard, order):
+    docs = hard.select("doc_id", "text").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).select((F.col("doc_id") + 100).alias("doc_id"), "text")).localCheckpoint()
+    rows = docs.collect()
+    tokens = [[*(r.text or "").encode().lower().split(), b"\n"] for r in rows]
+    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
+    words, p = _kneser_ney_of(tokens, held, order)
+    context = (b"quick", b"brown", b"fox")[1 - order :]
+    assert abs(sum(p((*context, w)) for w in words) + p((*context, "?")) - 1) < 1e-9
+    padded = [["<s>"] * (order - 1) + t for t in tokens]
+    want = sorted((str(r.doc_id), len(t), sum(np.log10(p(tuple(x[i : i + order]))) for i in range(len(t)))) for r, t, x in zip(rows, tokens, padded, strict=True))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in ngram_lm.score(docs, order=order).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-4)
+
+
+def test_op2_uses_two_words_of_context(spark):
+    one = ngram_lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    of = lambda df: df.where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert of(ngram_lm.op2(spark, "/root/testdata/sf0.001")) > of(one) + 0.01
