@@ -220,8 +220,9 @@ def reshape(e: DataFrame, width: int, new_width: int) -> DataFrame:
     return e.select(F.floor(k / new_width).alias("i"), (k % new_width).alias("j"), "v")
 
 
-def resize_bilinear(e: DataFrame, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
-    """(i, j, v) of an image in entries at another size, weighting its four neighbours."""
+def resize_bilinear(e: DataFrame, height: int, width: int, new_height: int, new_width: int, image: str | None = None) -> DataFrame:
+    """(i, j, v) of an image in entries at another size, weighting its four neighbours; of every image where
+    `image` names a column that tells them apart, which then comes first."""
     spark = e.sparkSession
     fy, fx = (height - 1) / max(1, new_height - 1), (width - 1) / max(1, new_width - 1)
     grid = spark.range(new_height * new_width).select(F.floor(F.col("id") / new_width).alias("i"), (F.col("id") % new_width).alias("j"))
@@ -229,5 +230,7 @@ def resize_bilinear(e: DataFrame, height: int, width: int, new_height: int, new_
     grid = grid.withColumn("y0", F.floor("y")).withColumn("x0", F.floor("x"))
     corner = lambda dy, dx: F.struct(F.least(F.col("y0") + dy, F.lit(height - 1)).alias("py"), F.least(F.col("x0") + dx, F.lit(width - 1)).alias("px"), ((F.col("y") - F.col("y0")) if dy else (1 - (F.col("y") - F.col("y0")))).alias("wy"), ((F.col("x") - F.col("x0")) if dx else (1 - (F.col("x") - F.col("x0")))).alias("wx"))
     four = grid.select("i", "j", F.explode(F.array(*(corner(dy, dx) for dy in (0, 1) for dx in (0, 1)))).alias("c")).select("i", "j", "c.*")
-    source = e.select(F.col("i").alias("py"), F.col("j").alias("px"), "v")
-    return four.join(source, ["py", "px"]).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v"))
+    key = [] if image is None else [image]
+    source = e.select(*key, F.col("i").alias("py"), F.col("j").alias("px"), "v")
+    # four rows a cell of the new size, however many images there are
+    return source.join(F.broadcast(four), ["py", "px"]).groupBy(*key, "i", "j").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v"))

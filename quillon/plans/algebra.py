@@ -107,6 +107,13 @@ def bilinear(spark, d):
     return frame.resize_bilinear(image, 8, 8, 5, 5).select(F.lit(0).cast("long").alias("row_id"), "i", "j", r6("v").alias("v"))
 
 
+@query(f"WITH c AS (SELECT *, y * 7 / 4.0::DOUBLE AS fy, x * 7 / 4.0::DOUBLE AS fx FROM (SELECT row_id, features, y, x FROM {VECTORS}, range(5) a(y), range(5) b(x))), g AS (SELECT *, floor(fy)::INTEGER AS y0, floor(fx)::INTEGER AS x0 FROM c) SELECT row_id, y AS i, x AS j, round((1 - (fy - y0)) * (1 - (fx - x0)) * features[y0 * 8 + x0 + 1] + (1 - (fy - y0)) * (fx - x0) * features[y0 * 8 + least(x0 + 1, 7) + 1] + (fy - y0) * (1 - (fx - x0)) * features[least(y0 + 1, 7) * 8 + x0 + 1] + (fy - y0) * (fx - x0) * features[least(y0 + 1, 7) * 8 + least(x0 + 1, 7) + 1], 6) + 0.0 AS v FROM g")
+def bilinear_all(spark, d):
+    """Every image."""
+    e = frame.entries(vectors(spark, d)).select(F.col("i").alias("row_id"), F.floor(F.col("j") / 8).alias("i"), (F.col("j") % 8).alias("j"), "v")
+    return frame.resize_bilinear(e, 8, 8, 5, 5, "row_id").select("row_id", "i", "j", r6("v").alias("v"))
+
+
 @query(f"SELECT j, round(sum(v), 6) + 0.0 AS total, round(min(v), 6) + 0.0 AS least, round(max(v), 6) + 0.0 AS most FROM {ENTRIES} GROUP BY j")
 def reduce_axis(spark, d):
     return frame.reduce_rows(vectors(spark, d)).select("j", r6("total").alias("total"), r6("least").alias("least"), r6("most").alias("most"))

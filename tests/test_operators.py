@@ -70,6 +70,21 @@ def test_rows(spark):
     assert sorted(r.row_id for r in frame.append(df, df).collect()) == list(range(20))
 
 
+def test_bilinear_of_every_image(spark):
+    from quillon.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    images = {r.vec_id: np.array(r.embedding, float).reshape(8, 8) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {(r.row_id, r.i, r.j): r.v for r in QUERIES["bilinear_all"](spark, sf).collect()}
+    assert len(got) == 25 * len(images) > 25
+    for (k, i, j), v in got.items():
+        y, x = i * 7 / 4, j * 7 / 4
+        y0, x0 = int(y), int(x)
+        y1, x1, m = min(y0 + 1, 7), min(x0 + 1, 7), images[k]
+        want = (1 - y + y0) * ((1 - x + x0) * m[y0, x0] + (x - x0) * m[y0, x1]) + (y - y0) * ((1 - x + x0) * m[y1, x0] + (x - x0) * m[y1, x1])
+        assert v == pytest.approx(want, abs=2e-6)
+
+
 def test_permutations_and_splits(spark):
     df = spark.range(103).withColumnRenamed("id", "row_id")
     p = sample.shuffled(df, seed=5)
