@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, batches, components, cut, documents, drop, texts
 
@@ -174,20 +175,30 @@ def links(nodes: DataFrame, most: int = 2048) -> DataFrame:
     return first.where("key is null").select("a", "b").unionByName(second.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """doc_id, bits (the fingerprint, long), component_id for every row."""
-    out = "doc_id long, bits long"
+def _prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and text to doc_id and bits, by row."""
 
     def run(arrow):
         for b in batches(arrow):
             bits = np.array([fingerprint(t, shingle) for t in texts(b, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits, pa.int64())], ["doc_id", "bits"])
 
-    prints = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, out), "prints")
-    nodes = prints.groupBy("bits").agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes.where("node is not null")), "a", "b")
-    classes = nodes.join(found, "node", "left").select("bits", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "bits", "left").select("doc_id", "bits", "component_id")
+    return docs.mapInArrow(run, "doc_id long, bits long")
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """bits, group and the group's smallest doc_id (component_id) of every fingerprint. Groups go by fingerprints,
+    as a doc_id may have several."""
+    nodes = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes.where("least is not null").select("bits", F.col("bits").alias("node"))), "a", "b")
+    classes = nodes.join(found, nodes["bits"] == found["node"], "left").select("bits", F.coalesce("root", "bits").alias("group"), "least")
+    return classes.join(classes.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("bits", "group", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """doc_id, bits (the fingerprint, long), component_id for every row."""
+    prints = cut(_prints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), shingle), "prints")
+    return prints.join(_classes(prints), "bits", "left").select("doc_id", "bits", "component_id")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,9 +208,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id, and of rows that share it one. A row without
-    a doc_id stays unless another such row has its text."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays: that of the smallest doc_id, and of rows of the group that share it one,
+    whatever rows of other groups have that id. A row without a doc_id stays unless another such row has its text."""
+    prints = cut(_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), 3), "prints")
+    found = prints.where("doc_id is not null").join(_classes(prints), "bits")
+    keep = found.where("doc_id = component_id").groupBy("group", "doc_id").agg(F.min("bits").alias("_of")).select(F.col("doc_id").alias("_kept"), "_of")
+
+    def run(arrow):
+        for b in batches(arrow):
+            bits = np.array([fingerprint(t) for t in texts(b)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.int64())], [*b.schema.names, "_bits"])
+
+    rows = docs.where("doc_id is not null").mapInArrow(run, StructType([*docs.schema.fields, StructField("_bits", LongType())]))
+    stay = rows.join(keep, (rows["doc_id"] == keep["_kept"]) & (rows["_bits"] == keep["_of"]), "left_semi").dropDuplicates(["doc_id", "_bits"]).drop("_bits")
     return stay.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -157,3 +157,10 @@ def test_kept_digest_is_of_utf8(hard):
 
     row = substring_dedup.substring_dedup(hard.where("doc_id = 8")).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert hashlib.sha256(row.kept.encode()).hexdigest() == row.h
+
+
+def test_simhash_stage_keeps_different_texts_of_one_id(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(50))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a")), (3, text("c")), (3, text("d"))]
+    kept = simhash.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(tuple(r) for r in kept.collect()) == sorted({(1, text("a")), (1, text("b")), (3, text("c")), (3, text("d"))})
