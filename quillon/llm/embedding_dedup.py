@@ -19,6 +19,7 @@ vectors of their own; a null vec_id shares what its copies with ids have, and el
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 import math
 
 import numpy as np
@@ -175,21 +176,25 @@ def links(nodes: DataFrame, dim: int, most: int = 2048, threshold: float = THRES
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, most: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    common = source.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common.dim if common else 0
+    # one number for each length that occurs
+    dims = sorted(r.dim for r in source.where("size(embedding) > 0").select(F.size("embedding").alias("dim")).distinct().collect())
 
     def run(arrow):
         for b in arrow:
-            good, x = read_vectors(b.column("embedding"), dim)
-            data = iter([r.tobytes() for r in x])
-            data = [next(data) if g else None for g in good.tolist()]
+            data = [None] * b.num_rows
+            for dim in dims:
+                good, x = read_vectors(b.column("embedding"), dim)
+                for i, r in zip(np.flatnonzero(good).tolist(), x, strict=True):
+                    data[i] = r.tobytes()
             digest = [None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(digest, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "digest", "vector"])
 
     rows = cut(source.mapInArrow(run, "vec_id long, digest binary, vector binary"), "vectors")
     classes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
     nodes = classes.where("node is not null").select("node", "copies", "vector")
-    found = cut(links(nodes, dim, most, threshold, recall), "links")
+    # vectors of one length are compared with each other
+    of = [links(nodes.where(F.octet_length("vector") == 8 * dim), dim, most, threshold, recall) for dim in dims or [1]]
+    found = cut(reduce(DataFrame.unionByName, of), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.where("n = 0"), "node", "root")
     known = classes.select("digest", "node", "copies").join(counts, "node", "left").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"))

@@ -164,3 +164,9 @@ def test_simhash_stage_keeps_different_texts_of_one_id(spark):
     rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a")), (3, text("c")), (3, text("d"))]
     kept = simhash.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(tuple(r) for r in kept.collect()) == sorted({(1, text("a")), (1, text("b")), (3, text("c")), (3, text("d"))})
+
+
+def test_embeddings_of_mixed_lengths(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [3.0, -1.0, 0.5]), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (6, [1.0, 2.0]), (7, [2.0, 1.0, 0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}
