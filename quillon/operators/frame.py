@@ -81,9 +81,12 @@ def create_mask(df: DataFrame, index: DataFrame, row_id: str = "row_id") -> Data
 
 
 def window_select(df: DataFrame, points: DataFrame, width: float, label: str = "label", value: str = "value") -> DataFrame:
-    """Rows whose value is within `width` of a point (label, p) of their class: a band semi-join."""
-    cond = (df[label] == points["label"]) & (F.abs(df[value] - points["p"]) <= width)
-    return df.join(points, cond, "left_semi")
+    """Rows whose value is within `width` of a point (label, p) of their class: a band semi-join by class and bins,
+    twice as wide, of which a point is in its own and both neighbours."""
+    bin_of = lambda c: F.rint(c / (2 * width)) if width > 0 else c
+    near = points.select(F.col("label").alias("_label"), F.col("p").alias("_p"), F.explode(F.array(*(bin_of(F.col("p")) + k for k in ((-1.0, 0.0, 1.0) if width > 0 else (0.0,))))).alias("_bin"))
+    cond = (df[label] == near["_label"]) & (bin_of(df[value]) == near["_bin"]) & (F.abs(df[value] - near["_p"]) <= width)
+    return df.join(near, cond, "left_semi")
 
 
 # ---------------------------------------------------------------- stacking

@@ -85,6 +85,18 @@ def test_bilinear_of_every_image(spark):
         assert v == pytest.approx(want, abs=2e-6)
 
 
+def test_variance_windows_of_points_in_the_whole_table(spark):
+    from quillon.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    v = {}
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        e = np.exp(np.array(r.embedding, float) - max(r.embedding))
+        v[r.vec_id] = (r.label, (e / e.sum()).var(ddof=1))
+    want = {i for i, (k, x) in v.items() if any(v[j][0] == k and abs(v[j][1] - x) <= 2e-7 for j in v if j % 20 == 0)}
+    assert {r.row_id for r in QUERIES["variance_window_select_all"](spark, sf).collect()} == want >= {i for i in v if i % 20 == 0}
+
+
 def test_permutations_and_splits(spark):
     df = spark.range(103).withColumnRenamed("id", "row_id")
     p = sample.shuffled(df, seed=5)
