@@ -1,17 +1,21 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark texts scans each text once.
 
 Words are runs of ASCII letters and digits (A-Z lowered) and of everything beyond ASCII. The automaton's
-patterns are the items' windows of `window` consecutive words, space-joined with a space at both ends, so a
-match is always whole words. Matches are mapped to word numbers and, for the texts that have any, to character
-offsets in the original text.
+patterns are the items' windows of `window` consecutive words. It works on numbered words: a word of the benchmark
+is as many characters as its number has digits to the base BASE, each digit in a range of its own, so that a match
+is always whole words, no node has many children, and memory is about 140 bytes for each byte of items (290 with
+letters). Any other word is one character that no pattern has. Matches are mapped to word numbers and, for the
+texts that have any, to character offsets in the original text.
 
-The automaton is broadcast as its patterns, of at most `group_bytes` of item text: a larger benchmark is
-scanned in several groups of items, each over all documents. Documents are never shuffled.
+The automaton is broadcast as its items' texts, of at most `group_bytes` (4 MB: an automaton of 560 MB). A larger
+benchmark, whose automaton an executor could not hold, is scanned in groups of items, each over all documents.
+Documents are never shuffled.
 
 Defined results: a null or empty text has no words and no hits; a null item or an item without words has no
 window; an item of fewer words than `window` is one window of them all; repeated items count by their ids, an
 item without id still marks words but is not listed; an empty benchmark hits nothing; extra columns pass
-through, and a column of the input with a result's name is replaced.
+through, and a column of the input with a result's name is replaced. The stage keeps rows as they are (repeated
+ones too) and drops those with `window` hit words or more.
 """
 
 from __future__ import annotations
@@ -43,44 +47,60 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows(items: list[tuple[int | None, bytes]], window: int) -> dict[bytes, tuple[int, list]]:
-    """Pattern to (its number of words, ids of its items)."""
-    found: dict[bytes, tuple[int, list]] = {}
+def windows(items: list[tuple[int | None, bytes]], window: int) -> dict[tuple[bytes, ...], list]:
+    """Words of a window to ids of its items."""
+    found: dict[tuple[bytes, ...], list] = {}
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            ids = found.setdefault(b" %b " % b" ".join(part), (len(part), []))[1]
+            ids = found.setdefault(tuple(w[i : i + window]), [])
             if item is not None and item not in ids[-1:]:
                 ids.append(item)
     return found
 
 
-def automaton(patterns: dict[bytes, tuple[int, list]]) -> ahocorasick.Automaton:
-    """Over Latin-1 decoded UTF-8, so an offset is a byte."""
-    a = ahocorasick.Automaton()
-    for p, (n, ids) in patterns.items():
-        a.add_word(p.decode("latin-1"), (n, tuple(ids)))
-    a.make_automaton()
-    return a
-
-
-def scan(a: ahocorasick.Automaton, normal: bytes) -> tuple[np.ndarray, set]:
-    """Numbers of the words hit, in order, and the ids of the items found, in b' '.join(words)."""
-    text = f" {normal.decode('latin-1')} "
-    found, items = [], set()
-    for end, (n, ids) in a.iter(text):
-        found.append((end, n))
-        items.update(ids)
-    if not found:
-        return np.empty(0, np.int64), items
-    ends, sizes = np.array(found, np.int64).T
-    spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, ends)  # the last word's number, plus 1
-    mark = np.zeros(len(spaces) + 1, np.int64)
-    np.add.at(mark, last - sizes, 1)
-    np.add.at(mark, last, -1)
-    return np.flatnonzero(np.cumsum(mark) > 0), items
+BASE = 64
+
+
+class _Codes(dict):
+    """Words of the benchmark to characters; any other word is one that stands for all of them."""
+
+    def __init__(self, known: list[bytes]):
+        self.digits = 1
+        while BASE**self.digits < len(known):
+            self.digits += 1
+        places = [(1 + BASE * d, BASE**d) for d in range(self.digits)]
+        super().__init__((w, "".join(chr(at + i // unit % BASE) for at, unit in places)) for i, w in enumerate(known))
+
+    def __missing__(self, word):
+        return "\0"
+
+
+class Automaton:
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+        patterns = windows(items, window)
+        self.codes = _Codes(sorted({w for p in patterns for w in p}))
+        self.trie = ahocorasick.Automaton()
+        for p, ids in patterns.items():
+            self.trie.add_word("".join(map(self.codes.__getitem__, p)), (len(p), tuple(ids)))
+        self.trie.make_automaton()
+
+    def scan(self, found: list[bytes]) -> tuple[np.ndarray, set]:
+        """Numbers of the words hit, in order, and the ids of the items found."""
+        coded = list(map(self.codes.__getitem__, found))
+        matches, items = [], set()
+        for end, (n, ids) in self.trie.iter("".join(coded)):
+            matches.append((end, n))
+            items.update(ids)
+        if not matches:
+            return np.empty(0, np.int64), items
+        at, sizes = np.array(matches, np.int64).T
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) - 1
+        last = np.searchsorted(ends, at) + 1  # the last word's number, plus 1
+        mark = np.zeros(len(ends) + 1, np.int64)
+        np.add.at(mark, last - sizes, 1)
+        np.add.at(mark, last, -1)
+        return np.flatnonzero(np.cumsum(mark) > 0), items
 
 
 def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
@@ -94,33 +114,36 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
 
 
 #: The automaton that this worker process has built, by the name of its broadcast.
-_built: dict[str, ahocorasick.Automaton | None] = {}
+_built: dict[str, Automaton | None] = {}
 register("decontaminate", _built)
 
 
-def _automaton(name: str, sent) -> ahocorasick.Automaton | None:
+def _automaton(name: str, sent, window: int) -> Automaton | None:
     enter("decontaminate")
     if name not in _built:
         _built.clear()
-        _built[name] = automaton(sent.value) if sent.value else None
+        _built[name] = Automaton(sent.value, window) if sent.value else None
     return _built[name]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, group_bytes: int = 256 << 10) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, group_bytes: int = 4 << 20
+) -> DataFrame:
     """docs with n_words, n_hit, items (ids found, ascending) and spans (hit passages, character offsets)."""
     keep = [c for c in docs.columns if c.lower() not in {f.name for f in RESULT}]
     docs = docs.select(*keep)
     out_type = T.StructType([*docs.schema, *RESULT])
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     context = docs.sparkSession.sparkContext
     out = None
     for g in range(groups):
-        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(groups)) == g).collect()
-        sent = context.broadcast(windows(sorted(((r.i, bytes(r.t)) for r in rows), key=lambda r: (r[1], r[0] is None, r[0] or 0)), window))
+        rows = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(groups)) == g).collect()
+        sent = context.broadcast(sorted(((r.i, bytes(r.t)) for r in rows), key=lambda r: (r[1], r[0] is None, r[0] or 0)))
         last = out
-        out = (docs if out is None else out).mapInArrow(_scanner(sent, text, keep, to_arrow_schema(out_type), last is not None), out_type)
+        scanner = _scanner(sent, window, text, keep, to_arrow_schema(out_type), last is not None)
+        out = (docs if out is None else out).mapInArrow(scanner, out_type)
         if groups > 1:
             out = cut(out, "scanned")
             if last is not None:
@@ -129,17 +152,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return out.drop("_words")
 
 
-def _scanner(sent, text: str, keep: list[str], schema: pa.Schema, again: bool):
+def _scanner(sent, window: int, text: str, keep: list[str], schema: pa.Schema, again: bool):
     name = uuid.uuid4().hex
 
     def run(arrow):
-        a = _automaton(name, sent)
+        a = _automaton(name, sent, window)
         for b in batches(arrow):
             n_words, n_hit, items, spans, hits = [], [], [], [], []
             before = list(zip(b.column("items").to_pylist(), b.column("_words").to_pylist(), strict=True)) if again else None
             for i, t in enumerate(texts(b, text)):
                 w = words(t)
-                hit, found = scan(a, b" ".join(w)) if a is not None and w else (np.empty(0, np.int64), set())
+                hit, found = a.scan(w) if a is not None and w else (np.empty(0, np.int64), set())
                 if before:
                     found |= set(before[i][0])
                     hit = np.union1d(hit, np.frombuffer(before[i][1], np.int64))
@@ -149,7 +172,8 @@ def _scanner(sent, text: str, keep: list[str], schema: pa.Schema, again: bool):
                 spans.append(original_spans(t, hit) if len(hit) else [])
                 hits.append(hit.tobytes())
             new = [n_words, n_hit, items, spans, hits]
-            yield pa.RecordBatch.from_arrays([b.column(c).cast(schema.field(c).type) for c in keep] + [pa.array(x, type=schema.field(len(keep) + i).type) for i, x in enumerate(new)], schema=schema)
+            old = [b.column(c).cast(schema.field(c).type) for c in keep]
+            yield pa.RecordBatch.from_arrays(old + [pa.array(x, type=schema.field(len(keep) + i).type) for i, x in enumerate(new)], schema=schema)
 
     return run
 
@@ -162,9 +186,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
-def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more items go; the rest stay as they are."""
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 8) -> DataFrame:
+    """Documents with `window` or more words inside the items' windows go: one whole window of any item, or short items
+    of as many words together. A short item alone (a yes, a name) condemns no document. The rest stay as they are."""
     columns = docs.columns
-    marked = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    found = decontaminate(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("items") < 2).select([F.col("row")[c].alias(c) for c in columns])
+    marked = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    found = decontaminate(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=window)
+    return found.where(F.col("n_hit") < window).select([F.col("row")[c].alias(c) for c in columns])

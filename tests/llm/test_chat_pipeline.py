@@ -42,3 +42,27 @@ def test_stages(spark, hard, empty):
             assert out.columns == docs.columns, name
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == docs.count()
+
+
+def test_each_stage_takes_what_is_planted(spark):
+    """Every stage by itself: what it must take goes, and what it must leave stays."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    sf = "/root/testdata/sf0.001"
+    r = random.Random(5)
+    items = [x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    prose = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(n))
+    passage = prose(60)
+    rows = {
+        1: prose(80), 2: f"{prose(30)} {items[0].upper()} {prose(30)}", 3: items[1], 4: f"{prose(40)} {' '.join(items[2].split()[:7])} {prose(40)}",
+        5: f"{prose(20)} {passage} {prose(20)}", 6: f"{prose(20)} {passage} {prose(20)}", 8: "", 9: None,
+    }
+    rows[7] = rows[1]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows.items()], "doc_id long, text string, lang string, source string")
+    left = {name: {x.doc_id: x.text for x in stages[name](spark, docs, sf).collect()} for name in ("simhash", "substring_dedup", "decontaminate")}
+    assert set(left["decontaminate"]) == set(rows) - {2, 3}
+    assert left["decontaminate"] == {i: rows[i] for i in left["decontaminate"]}
+    assert set(left["simhash"]) == set(rows) - {7, 9}
+    assert left["substring_dedup"][5] == rows[5] and passage not in left["substring_dedup"][6] and left["substring_dedup"][1] == rows[1]
+    assert left["substring_dedup"][6].split() == rows[6].split()[:20] + rows[6].split()[-20:]
