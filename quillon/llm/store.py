@@ -3,7 +3,7 @@
 A store is a folder of four tables, written and read by Spark alone:
 
     chunks/     digest (BLAKE2b, 16 bytes), ids (little-endian, `width` bytes each): every distinct chunk once
-    recipes/    root, n_tokens, digests: every distinct id stream once, as its chunks' digests in order
+    recipes/    block, root, n_tokens, digests: every distinct id stream once, as its chunks' digests in order
     documents/  part, doc_id, start, n_tokens, root: in ascending doc_id order (null first), part by part
     manifest/   part, first_doc, last_doc, n_docs, n_ids, root, buckets: a Merkle root over each part's documents
 
@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import os
-import unicodedata
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -34,11 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batches, cut, documents, drop, new_path, shuffle_partitions, texts
+from .common import batches, cut, documents, drop, enter, new_path, register, shuffle_partitions, texts
 
 WINDOW, MIN, MASK, MAX = 8, 64, 255, 1024
-#: Space-separated words that a worker keeps; when full it starts anew.
-CACHE = 500_000
 #: ASCII marks: neither letters nor digits nor white space.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -74,109 +73,95 @@ def merkle(leaves) -> bytes:
     return m.root()
 
 
-class _Cache(dict):
-    def __missing__(self, unit):
-        return self.missing(unit)
+#: Words in lower case whose bytes are the model's letters: ASCII, and the composed letters of Latin-1.
+SIMPLE = re.compile("[a-zß-öø-ÿ]+")
 
 
-class WordEncoder:
-    """Encodes by the tokenizers library, each ASCII-white-space-separated word once.
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for what follows 255."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordEncoder(dict):
+    """Encodes by the tokenizers library, each ASCII-white-space-separated word once: a word's ids as bytes.
 
     The tokenizer drops white space and no match of its pattern holds any, so the words' ids in a row are the
-    text's ids. A word that is letters and then ASCII marks is two matches, which are looked up by themselves, the
-    letters with A-Z lowered. New runs of letters go to the library many in a text; a token that ends a word tells
-    where one ends. Should the numbers differ, as with a vocabulary without such tokens, each goes alone, and so
-    does any other word.
+    text's ids. A word that is ASCII letters and then marks is two matches, and digits are one each; these are
+    looked up by themselves, letters with A-Z lowered. A run of simple letters in lower case goes straight to the
+    library's model, as its normaliser and pattern leave it whole; any other word goes the library's whole way,
+    and so does every word if on samples the two ways differ.
+
+    Two generations of words are kept, of `most` bytes together; what was not used since the last turn goes.
     """
 
-    def __init__(self, definition: str):
+    SAMPLES = ("the", "quick", "übergröße", "ça", "año", "zzxqjv")
+
+    def __init__(self, definition: str, width: int = 2, most: int = 192 << 20):
         self.tokenizer = Tokenizer.from_str(definition)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        lowers = self.tokenizer.encode("Ab", add_special_tokens=False).ids == self.tokenizer.encode("ab", add_special_tokens=False).ids
-        self.lower = bytes.lower if lowers else bytes
-        self.parts: dict[bytes, bytes] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.cache = _Cache()
-        if len(self.parts) > CACHE:
-            self.parts = {}
-        self.ids, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _add(self, words: list[bytes]) -> None:
-        split, letters = [], {}
-        for w in words:
-            core = self.lower(w.rstrip(MARKS))
-            text = core.decode()
-            if text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha()):
-                split.append((core, w[len(core) :]))
-                if core not in self.parts:
-                    letters[core] = text
-            else:
-                split.append((w, b""))
-        cores = list(letters.items())
-        for k in range(0, len(cores), 5000):
-            part = cores[k : k + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(ends) == len(part):
-                data = ids.tobytes()
-                self.parts.update((c, data[a:b]) for (c, _), a, b in zip(part, [0, *ends], ends, strict=False))
-            else:
-                self.parts.update((c, self._ids(t).tobytes()) for c, t in part)
-        found = []
-        for pair in split:
-            for x in pair:
-                if x and x not in self.parts:
-                    self.parts[x] = self._ids(x.decode()).tobytes()
-            found.append(self.parts[pair[0]] + self.parts[pair[1]] if pair[1] else self.parts[pair[0]])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found)) // 4])
-
-    def encode(self, texts_: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by `end`, and where each text's begin (one more than texts)."""
-        if len(self.cache) > CACHE:
-            self._clear()
-        size, new, found, counts = len(self.lengths), [], [], []
-
-        def missing(word):
-            i = self.cache[word] = size + len(new)
-            new.append(word)
-            return i
-
-        self.cache.missing = missing
-        get = self.cache.__getitem__
-        for t in texts_:
-            w = t.split()
-            counts.append(len(w))
-            found.append(np.array(list(map(get, w)), np.int64))
-        if new:
-            self._add(new)
-        words = np.concatenate(found) if found else np.empty(0, np.int64)
-        sizes = self.lengths[words]
-        n = np.zeros(len(texts_) + 1, np.int64)
-        n[1:] = np.cumsum(np.bincount(np.repeat(np.arange(len(texts_)), counts), sizes, len(texts_)).astype(np.int64))
-        starts = np.cumsum(self.lengths) - self.lengths
-        total = int(sizes.sum())
-        take = np.repeat(starts[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        return np.insert(self.ids[take], n[1:], end), n + np.arange(len(n))
-
-
-_GEAR = np.random.default_rng(20).integers(0, 1 << 32, 1 << 16, np.uint32)
+        self.letters = byte_letters()
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # no word comes twice
+        self.tokenize = model.tokenize
+        self.kind = {1: "B", 2: "H", 4: "I"}[width]
+        self.whole = any(self._simple(w.encode()) != self._any(w.encode()) for w in self.SAMPLES)
+        parts = [("Ab,", "ab", ","), ("c!?", "c", "!?"), ("12", "1", "2")]
+        self.split = all(self._any(w.encode()) == b"".join(self._any(x.encode()) for x in p) for w, *p in parts)
+        self.old: dict[bytes, bytes] = {}
+        self.most, self.size = most // 2, 0
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        try:
+            return array(self.kind, ids).tobytes()
+        except OverflowError:
+            raise ValueError(f"id {max(ids)} doesn't fit in {array(self.kind).itemsize} bytes") from None
+
+    def _any(self, word: bytes) -> bytes:
+        return self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+    def _simple(self, word: bytes) -> bytes:
+        text = word.decode("latin-1")
+        return self._bytes([x.id for x in self.tokenize(text if word.isascii() else text.translate(self.letters))])
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if self.split and core:
+            tail = self[word[len(core) :]] if len(core) < len(word) else b""
+            if core.isalpha():
+                return self[core.lower()] + tail
+            if core.isdigit() and len(word) > 1:
+                return b"".join([self[core[i : i + 1]] for i in range(len(core))]) + tail
+            if not self.whole and SIMPLE.fullmatch(low := core.decode().lower()):
+                return (self[low.encode()] if tail or low.encode() != word else self._simple(word)) + tail
+        return self._any(word)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self._simple(word) if not self.whole and word.isalpha() and word.islower() else self._ids(word)
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[word] = ids
+        self.size += len(word) + len(ids) + 180
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+_GEAR = (np.random.default_rng(20).integers(0, 1 << 32, 1 << 16, np.uint32) & MASK).astype(np.uint8)
 
 
 def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     """Ends of each document's chunks in the whole stream."""
-    h = np.zeros(len(ids), np.uint32)
-    gear = _GEAR[ids & 0xFFFF]
-    for k in range(WINDOW):
-        h[k:] += gear[: len(ids) - k] << np.uint32(k)
-    marks = np.flatnonzero((h & MASK) == MASK) + 1
+    h = _GEAR[ids & 0xFFFF]
+    for k in range(WINDOW.bit_length() - 1):  # a window of 1, 2, 4, 8 ids; of the hash only MASK's bits are looked at
+        n = 1 << k
+        h[n:] += h[:-n] << np.uint8(n)
+    marks = np.flatnonzero(h == MASK) + 1
     first, last = np.searchsorted(marks, bounds[:-1], "right"), np.searchsorted(marks, bounds[1:], "left")
     out = []
     for s, e, a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first, last, strict=True):
@@ -197,49 +182,77 @@ def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
 
 
 _encoders: dict[str, WordEncoder] = {}
+register("store", _encoders)
 
 
-def _encoder(name: str, sent) -> WordEncoder:
-    """This worker process's encoder, kept with its cache from task to task."""
+def _encoder(name: str, sent, width: int) -> WordEncoder:
+    """This worker process's encoder, kept with its words from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    enter("store")
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = WordEncoder(sent.value)
+        _encoders[name] = WordEncoder(sent.value, width)
     return _encoders[name]
 
 
-def _encoded(docs: DataFrame, definition: str, end: int, width: int) -> DataFrame:
-    """doc_id, n_tokens, root, digests (16 bytes each), sizes (u4 each), ids for every document."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(definition), uuid.uuid4().hex
-
-    def run(arrow):
-        encoder = _encoder(name, sent)
-        for b in batches(arrow, 8 << 20):
-            ids, bounds = encoder.encode(texts(b), end)
-            data = ids.astype(f"<u{width}").tobytes()
-            rows = []
-            for s, ends in zip(bounds.tolist(), cuts(ids, bounds), strict=False):
-                starts = [s, *ends[:-1]]
-                digests = [digest(data[x * width : y * width]) for x, y in zip(starts, ends, strict=True)]
-                rows.append((ends[-1] - s, merkle(digests), b"".join(digests), np.array([y - x for x, y in zip(starts, ends, strict=True)], "<u4").tobytes(), data[s * width : ends[-1] * width]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True))], ["doc_id", "n_tokens", "root", "digests", "sizes", "ids"])
+ENCODED = "doc_id long, n_tokens long, root binary, digests binary, digest binary, ids binary"
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, root binary, digests binary, sizes binary, ids binary")
 
+def _encoded(docs: DataFrame, definition: str, end: int, width: int) -> DataFrame:
+    """A row for every document (doc_id, n_tokens, root, digests of 16 bytes each), and for the chunks that are new to
+    a batch (digest, ids)."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(definition), uuid.uuid4().hex
+    if end >= 1 << 8 * width:
+        raise ValueError(f"id {end} doesn't fit in {width} bytes")
+    last = end.to_bytes(width, "little")
 
-def _chunk_rows(width: int):
     def run(arrow):
+        encoder = _encoder(name, sent, width)
         for b in batches(arrow, 8 << 20):
-            seen: dict[bytes, bytes] = {}
-            for digests, sizes, ids in zip(*(b.column(c).to_pylist() for c in ("digests", "sizes", "ids")), strict=True):
-                at = 0
-                for i, n in enumerate(np.frombuffer(sizes, "<u4").tolist()):
-                    seen.setdefault(digests[16 * i : 16 * i + 16], ids[at : at + n * width])
-                    at += n * width
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["digest", "ids"])
-
-    return run
+            found = [encoder.encode(t) + last for t in texts(b)]
+            data = b"".join(found)
+            bounds = np.cumsum([0, *map(len, found)]) // width
+            del found
+            chunks, n, roots, lists = {}, [], [], []
+            for s, ends in zip(bounds.tolist(), cuts(np.frombuffer(data, f"<u{width}"), bounds), strict=False):
+                digests, at = [], s
+                for e in ends:
+                    chunk = data[at * width : e * width]
+                    key = digest(chunk)
+                    chunks.setdefault(key, chunk)
+                    digests.append(key)
+                    at = e
+                n.append(at - s)
+                roots.append(merkle(digests))
+                lists.append(b"".join(digests))
+            rows, more = len(n), len(chunks)
+            columns = [
+                pa.concat_arrays([b.column("doc_id").cast(pa.int64()), pa.nulls(more, pa.int64())]),
+                pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(more, pa.int64())]),
+                *(pa.concat_arrays([pa.array(x, pa.binary()), pa.nulls(more, pa.binary())]) for x in (roots, lists)),
+                *(pa.concat_arrays([pa.nulls(rows, pa.binary()), pa.array(x, pa.binary())]) for x in (chunks.keys(), chunks.values())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "root", "digests", "digest", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+
+
+#: Chunks that a block of recipes refers to at most, unless it is one recipe alone.
+BLOCK = 4096
+
+
+def _blocks(arrow):
+    """Recipes with the number of their block."""
+    for b in arrow:
+        size = np.array([len(d) // 16 for d in b.column("digests").to_pylist()], np.int64)
+        of, names, now = [], [], BLOCK
+        for n in size.tolist():
+            if now + n > BLOCK:
+                names.append(uuid.uuid4().int >> 65)
+                now = 0
+            now += n
+            of.append(names[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *b.columns], ["block", *b.schema.names])
 
 
 def _manifest(docs: DataFrame) -> DataFrame:
@@ -264,81 +277,92 @@ def _manifest(docs: DataFrame) -> DataFrame:
     return docs.select("part", "doc_id", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start", "root").mapInArrow(run, "part int, first_doc long, last_doc long, n_docs long, n_ids long, root binary")
 
 
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """chunks/ with what Spark must know of its buckets; the catalog's entry serves to tell it and goes at once."""
+    name = f"quillon_chunks_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (digest BINARY, ids BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/chunks'")
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1, width: int = 2) -> None:
-    """Encode documents (doc_id, text) and write them as a store. width: bytes of an id."""
+    """Encode documents (doc_id, text) and write them as a store. width: bytes of an id; a larger id is an error."""
+    spark = docs.sparkSession
     with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         e = cut(_encoded(docs, f.read(), end, width), "encoded")
-    buckets = shuffle_partitions(docs.sparkSession)
-    e.select("digests", "sizes", "ids").mapInArrow(_chunk_rows(width), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").bucketBy(buckets, "digest").option("path", f"{path}/chunks").format("parquet").saveAsTable(f"quillon_chunks_{uuid.uuid4().hex}")
-    e.select("root", "n_tokens", "digests").dropDuplicates(["root"]).write.parquet(f"{path}/recipes")
-    small = e.select("doc_id", "n_tokens", "root").repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    buckets, name = shuffle_partitions(spark), f"quillon_chunks_{uuid.uuid4().hex}"
+    chunks = e.where("digest is not null").select("digest", "ids").groupBy("digest").agg(F.first("ids").alias("ids"))
+    chunks.write.option("compression", "zstd").bucketBy(buckets, "digest").option("path", f"{path}/chunks").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as it has a path of its own
+    rows = e.where("digest is null")
+    recipes = rows.select("root", "n_tokens", "digests").dropDuplicates(["root"])
+    recipes.mapInArrow(_blocks, "block long, root binary, n_tokens long, digests binary").write.parquet(f"{path}/recipes")
+    small = rows.select("doc_id", "n_tokens", "root").repartitionByRange(buckets, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
     small = cut(small, "ordered")
     parts = small.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row per part: as many as shuffle partitions, whatever the number of documents
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     running = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root")
     placed = small.withColumn("end", F.sum("n_tokens").over(running.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "part")
-    placed.select("part", "doc_id", (F.col("before") + F.col("end") - F.col("n_tokens")).alias("start"), "n_tokens", "root").sortWithinPartitions("part", "start").write.parquet(f"{path}/documents")
-    _manifest(docs.sparkSession.read.parquet(f"{path}/documents")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/manifest")
+    placed = placed.select("part", "doc_id", (F.col("before") + F.col("end") - F.col("n_tokens")).alias("start"), "n_tokens", "root")
+    placed.sortWithinPartitions("part", "start").write.parquet(f"{path}/documents")
+    _manifest(spark.read.parquet(f"{path}/documents")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/manifest")
     drop(e)
     drop(small)
 
 
+def _references(arrow):
+    """The distinct chunks of each block of recipes; a block is in one batch, as it was when it was numbered, or in a
+    few, and then its common chunks come more than once."""
+    for b in arrow:
+        of: dict[int, set] = {}
+        for block, digests in zip(b.column("block").to_pylist(), b.column("digests").to_pylist(), strict=True):
+            of.setdefault(block, set()).update(digests[i : i + 16] for i in range(0, len(digests), 16))
+        blocks = [block for block, found in of.items() for _ in found]
+        keys = [d for found in of.values() for d in sorted(found)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(keys, pa.binary())], ["block", "digest"])
+
+
 def read_store(spark: SparkSession, path: str, width: int = 2, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of ids as u4) and, if asked for, ids (array of int), all verified.
 
-    A distinct id stream is put together once, chunk by chunk as the sorted rows come in.
+    A distinct id stream is put together once. Recipes ask for their chunks by the block, so that a chunk that very
+    many of them have is one row for each block.
     """
     docs, recipes, manifest = (spark.read.parquet(f"{path}/{t}") for t in ("documents", "recipes", "manifest"))
     buckets = (manifest.select("buckets").first() or [1])[0]
-    chunks = f"quillon_chunks_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {chunks} (digest BINARY, ids BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/chunks'")
-    chunks = spark.table(chunks)
     wrong = _manifest(docs).exceptAll(manifest.drop("buckets")).count()
     if wrong:
         raise ValueError(f"{path}: {wrong} parts of documents differ from the manifest")
 
-    def refs(arrow):
-        for b in batches(arrow, 4 << 20):
-            root, seq, key, last = [], [], [], []
-            for r, d in zip(b.column("root").to_pylist(), b.column("digests").to_pylist(), strict=True):
-                n = len(d) // 16
-                root += [r] * n
-                seq += range(n)
-                key += [d[i : i + 16] for i in range(0, len(d), 16)]
-                last += [n] * n
-            yield pa.RecordBatch.from_arrays([pa.array(root, pa.binary()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(last, pa.int32())], ["root", "seq", "digest", "n_chunks"])
-
     def assemble(arrow):
-        now, parts, tree, n_chunks = None, [], None, 0
+        """Rows sorted by block, chunks before recipes."""
+        now, known = None, {}
         for b in arrow:
             rows = []
-            for r, seq, n, d, data in zip(*(b.column(c).to_pylist() for c in ("root", "seq", "n_chunks", "digest", "ids")), strict=True):
-                if r != now:
-                    if now is not None:
-                        rows.append(done(now, parts, tree, n_chunks))
-                    now, parts, tree, n_chunks = r, [], Merkle(), n
-                if data is None or digest(data) != d or seq != len(parts):
-                    raise ValueError(f"chunk {d.hex()} of {r.hex()} is missing or damaged")
-                tree.push(d)
-                parts.append(data)
-            yield batch(rows)
-        if now is not None:
-            yield batch([done(now, parts, tree, n_chunks)])
-
-    def done(root, parts, tree, n_chunks):
-        if tree.root() != root or len(parts) != n_chunks:
-            raise ValueError(f"recipe {root.hex()} does not give its root")
-        found = np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4")
-        return root, len(found), zlib.crc32(found.tobytes()), found.astype(np.int32) if ids else None
-
-    def batch(rows):
-        root, n, crc, found = zip(*rows, strict=True) if rows else ((),) * 4
-        out = [pa.array(root, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
-        return pa.RecordBatch.from_arrays([*out, pa.array(found, pa.list_(pa.int32()))] if ids else out, ["root", "n", "ids_crc32", "ids"][: 3 + ids])
-
-    rows = recipes.select("root", "digests").mapInArrow(refs, "root binary, seq int, digest binary, n_chunks int").join(chunks, "digest", "left")
-    streams = rows.repartition("root").sortWithinPartitions("root", "seq").mapInArrow(assemble, "root binary, n long, ids_crc32 long" + ", ids array<int>" * ids)
+            for block, root, digests, d, data in zip(*(b.column(c).to_pylist() for c in ("block", "root", "digests", "digest", "ids")), strict=True):
+                if block != now:
+                    now, known = block, {}
+                if root is None:
+                    if data is None or digest(data) != d:
+                        raise ValueError(f"chunk {d.hex()} is missing or damaged")
+                    known[d] = data
+                    continue
+                parts = [digests[i : i + 16] for i in range(0, len(digests), 16)]
+                if merkle(parts) != root:
+                    raise ValueError(f"recipe {root.hex()} does not give its root")
+                found = np.frombuffer(b"".join([known[p] for p in parts]), f"<u{width}").astype("<u4")
+                rows.append((root, len(found), zlib.crc32(found.tobytes()), found.astype(np.int32) if ids else None))
+            root, n, crc, found = zip(*rows, strict=True) if rows else ((),) * 4
+            out = [pa.array(root, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(found, pa.list_(pa.int32()))] if ids else out, ["root", "n", "ids_crc32", "ids"][: 3 + ids])
+
+    wanted = recipes.select("block", "digests").mapInArrow(_references, "block long, digest binary").join(_bucketed(spark, path, buckets), "digest", "left")
+    nothing = F.lit(None).cast("binary")
+    rows = wanted.select("block", nothing.alias("root"), nothing.alias("digests"), "digest", "ids")
+    rows = rows.unionByName(recipes.select("block", "root", "digests", nothing.alias("digest"), nothing.alias("ids")))
+    streams = rows.repartition("block").sortWithinPartitions("block", F.col("root").asc_nulls_first()).mapInArrow(assemble, "root binary, n long, ids_crc32 long" + ", ids array<int>" * ids)
     same = F.col("n_tokens") == F.col("n")
     n = F.when(same, F.col("n")).otherwise(F.raise_error(F.lit("a document's recipe is missing or of another length")).cast("long"))
     return docs.join(streams, "root", "left").select("doc_id", "start", n.alias("n_tokens"), "ids_crc32", *["ids"] * ids)

@@ -82,7 +82,12 @@ def test_store(spark, hard, empty, tmp_path):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     e = store.WordEncoder(open(P.path("word_bpe_49k.json")).read())
     for s in TEXTS + _random(300, "aàbΣσςdİ  \n\t'sé漢1!́😀\x85\xa0\x1c<|", 60):
-        assert e.encode([s.encode()], 1)[0].tolist() == [*t.encode(s, add_special_tokens=False).ids, 1]
+        assert np.frombuffer(e.encode(s.encode()), "<u2").tolist() == t.encode(s, add_special_tokens=False).ids
+    tiny = store.WordEncoder(open(P.path("word_bpe_49k.json")).read(), most=1 << 12)
+    for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert np.frombuffer(tiny.encode(x.text.encode()), "<u2").tolist() == t.encode(x.text, add_special_tokens=False).ids
+    with pytest.raises(ValueError, match="fit"):
+        store.WordEncoder(open(P.path("word_bpe_49k.json")).read(), 1).encode(b"hippopotamus")
     store.write_store(hard, f"file://{tmp_path}/s")
     rows = store.read_store(spark, f"file://{tmp_path}/s").collect()
     want = sorted(((r.doc_id, r.text) for r in hard.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -95,6 +100,9 @@ def test_store(spark, hard, empty, tmp_path):
     assert [b[0] for b in bag] == [w[0] for w in want]
     key = lambda x: (str(x[0]), x[1])
     assert sorted(bag, key=key) == sorted(((i, (*t.encode(x or "", add_special_tokens=False).ids, 1)) for i, x in want), key=key)
+    by = {(r.doc_id, r.start): r for r in store.read_store(spark, f"file://{tmp_path}/s", ids=False).collect()}
+    assert all((by[r.doc_id, r.start].n_tokens, by[r.doc_id, r.start].ids_crc32) == (r.n_tokens, r.ids_crc32) for r in rows) and len(by) == len(rows)
+    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("quillon_chunks")]
     store.write_store(empty, f"file://{tmp_path}/e")
     assert store.read_store(spark, f"file://{tmp_path}/e").count() == 0
 
@@ -109,6 +117,14 @@ def test_store_finds_damage(spark, hard, tmp_path):
     shutil.move(f"{tmp_path}/s/other", f"{tmp_path}/s/documents")
     with pytest.raises(ValueError, match="manifest"):
         store.read_store(spark, path)
+    path = f"file://{tmp_path}/t"
+    store.write_store(hard.where("doc_id in (1, 11)"), path)
+    chunks = spark.read.parquet(f"{path}/chunks").collect()
+    shutil.rmtree(f"{tmp_path}/t/chunks")
+    spark.createDataFrame([(c.digest, bytes(c.ids)[::-1]) for c in chunks], "digest binary, ids binary").write.bucketBy(4, "digest").option("path", f"{path}/chunks").saveAsTable("damaged")
+    with pytest.raises(Exception, match="damaged"):
+        store.read_store(spark, path).collect()
+    spark.sql("DROP TABLE damaged")
 
 
 def test_chunks_follow_content():
