@@ -1,18 +1,21 @@
 """SimHash near-duplicates: exact links of fingerprints within a Hamming radius through BK-trees, by shard.
 
 Fingerprints of 3-word shingles (majority of the bits of XXH64, seed 42) are grouped first, so that copies are
-one node. Distinct fingerprints go to shards: 64 bits in four blocks, and as two fingerprints that differ in at
-most two bits agree in at least two blocks, one shard for each pair of blocks and their 32 bits. A shard's
-fingerprints are put in a BK-tree - children keyed by integer Hamming distance to their parent - and searched
-by following only edges within the radius of the distance. A search takes what it finds out of the tree, so
-that a shard gives the links of a spanning forest, fewer than its fingerprints, not all its pairs.
-
-A shard of more than `most` fingerprints (only near copies of one text can be so many) is passed on by 24 of
-its other 32 bits: the eight nibbles of which six must agree. What is left of a fingerprint then are 8 bits, so
-such a shard has at most 256.
-
-The trees travel with their shards through the shuffle. They are not broadcast: together they are as large as
-the set of fingerprints, for which no bound holds. Links are joined to components by distributed contraction.
+one node. Distinct fingerprints go to shards: of three blocks of 21 or 22 bits two fingerprints that differ in at
+most two bits share at least one, so a fingerprint is in one shard for each block, by as many of the block's bits as
+make shards of TREE fingerprints on average. A shard's fingerprints are put in a BK-tree - children keyed by integer
+Hamming distance to their parent - and searched by following only edges within the radius of the distance. A search
+takes what it finds out of the tree, so that a shard gives the links of a spanning forest, fewer than its
+fingerprints, not all its pairs.
+
+A shard of more than `most` fingerprints (near copies of one text, or texts whose blocks are alike) is divided again,
+by two of four blocks of 16 bits, which such pairs share too, and if that leaves more than `most`, by 24 of the 32
+other bits: the eight nibbles of which six must agree. What is left of a fingerprint then are 8 bits, so such a shard
+has at most 256.
+
+The trees go to their shards through the shuffle and are not broadcast: together they hold every distinct fingerprint
+three times, 24 bytes a document, which no driver may collect (353 MB for the 14.7 million documents of 30 GB, 1.2 TB
+for 100 TB). Links are joined to components by distributed contraction.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links as any other; a
 null doc_id gets the component of its fingerprint but never names one (null if no other has an id); repeated
@@ -36,6 +39,8 @@ SEED = 42
 RADIUS = 2
 BLOCKS = list(combinations(range(4), 2))
 NIBBLES = list(combinations(range(8), 6))
+#: Fingerprints of a shard on average, and the three blocks' first bits.
+TREE, THIRDS = 256, (0, 21, 42)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -94,9 +99,6 @@ class BkTree:
 
 def forest(items: dict[int, int], radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the fingerprints (to their nodes) that lie within the radius."""
-    if len(items) == 2:
-        (x, a), (y, b) = items.items()
-        return [(a, b)] if (x ^ y).bit_count() <= radius else []
     tree, out = BkTree(items), []
     for x in items:
         if x in tree.gone:
@@ -138,7 +140,8 @@ def _shards(most: int | None, radius: int):
         a, b = zip(*links, strict=True) if links else ((), ())
         p, k, x, n = zip(*on, strict=True) if on else ((),) * 4
         none, nothing = [None] * len(on), [None] * len(links)
-        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "pair" else pa.int64()) for c, v in (("a", [*a, *none]), ("b", [*b, *none]), ("pair", [*nothing, *p]), ("key", [*nothing, *k]), ("bits", [*nothing, *x]), ("node", [*nothing, *n]))})
+        columns = {"a": [*a, *none], "b": [*b, *none], "pair": [*nothing, *p], "key": [*nothing, *k], "bits": [*nothing, *x], "node": [*nothing, *n]}
+        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "pair" else pa.int64()) for c, v in columns.items()})
 
     return run
 
@@ -163,16 +166,32 @@ def _by_nibbles(arrow):
         yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, 1).ravel()), *map(pa.array, rows)], ["key", "bits", "node"])
 
 
-def links(nodes: DataFrame, most: int = 2048) -> DataFrame:
+def _searched(rows: DataFrame, most: int | None) -> DataFrame:
+    """LINKS of shards: rows (pair, key, bits, node)."""
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(most, RADIUS), LINKS)
+
+
+def links(nodes: DataFrame, most: int = 2048, tree: int = TREE) -> DataFrame:
     """nodes: distinct (bits, node), both long. Links (a, b) between nodes that connect all within the radius."""
-    parts = [(f"shiftrightunsigned(bits, {16 * i}) & 65535", f"shiftrightunsigned(bits, {16 * j}) & 65535") for i, j in BLOCKS]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.expr(a), F.expr(b)) for i, (a, b) in enumerate(parts)))
-    rows = nodes.select("bits", "node", F.posexplode(keys).alias("pair", "key"))
-    first = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(most, RADIUS), LINKS)
-    first = cut(first, "links")
-    over = first.where("key is not null").select("pair", "key", "bits", "node")
-    second = over.mapInArrow(_by_nibbles, "key long, bits long, node long").repartition("key").sortWithinPartitions("key").select(F.lit(0).alias("pair"), "key", "bits", "node").mapInArrow(_shards(None, RADIUS), LINKS)
-    return first.where("key is null").select("a", "b").unionByName(second.select("a", "b"))
+    width = min(21, max(0, nodes.count() // tree).bit_length())
+    found = []
+
+    def searched(keys, rows):
+        """Links of shards, and the rows of those that are too large."""
+        out = cut(_searched(rows.select("bits", "node", F.posexplode(keys).alias("pair", "key")), most), "links")
+        found.append(out.where("key is null").select("a", "b"))
+        return out.where("key is not null")
+
+    thirds = [F.expr(f"shiftrightunsigned(bits, {first}) & {(1 << width) - 1}") for first in THIRDS]
+    over = searched(F.array(*(F.xxhash64(F.lit(i), x) for i, x in enumerate(thirds))), nodes)
+    if over.isEmpty():
+        return found[0]
+    quarters = [F.expr(f"shiftrightunsigned(bits, {16 * i}) & 65535") for i in range(4)]
+    keys = F.array(*(F.xxhash64(F.lit(i), quarters[p], quarters[q]) for i, (p, q) in enumerate(BLOCKS)))
+    over = searched(keys, over.select("bits", "node").distinct())
+    narrow = over.select("pair", "key", "bits", "node").mapInArrow(_by_nibbles, "key long, bits long, node long")
+    last = _searched(narrow.select(F.lit(0).alias("pair"), "key", "bits", "node"), None)
+    return found[0].unionByName(found[1]).unionByName(last.select("a", "b"))
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -189,7 +208,7 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
 def _classes(prints: DataFrame) -> DataFrame:
     """bits, group and the group's smallest doc_id (component_id) of every fingerprint. Groups go by fingerprints,
     as a doc_id may have several."""
-    nodes = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    nodes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes.where("least is not null").select("bits", F.col("bits").alias("node"))), "a", "b")
     classes = nodes.join(found, nodes["bits"] == found["node"], "left").select("bits", F.coalesce("root", "bits").alias("group"), "least")
     return classes.join(classes.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("bits", "group", "component_id")

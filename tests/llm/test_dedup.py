@@ -47,7 +47,7 @@ def _print(text):
 
 def test_simhash_links(spark):
     r = random.Random(1)
-    for most in (2048, 20):
+    for most, tree in ((2048, 256), (2048, 20), (20, 20), (5, 1)):
         bits = set()
         for _ in range(40):
             base = r.getrandbits(64)
@@ -58,7 +58,7 @@ def test_simhash_links(spark):
                 bits.add(x)
         items = {x: 7 * i for i, x in enumerate(sorted(bits))}
         df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, n) for x, n in items.items()], "bits long, node long")
-        got = {x.node: x.root for x in components(simhash.links(df, most), "a", "b").collect()}
+        got = {x.node: x.root for x in components(simhash.links(df, most, tree), "a", "b").collect()}
         names = list(items)
         want = _classes(items.values(), [(items[x], items[y]) for i, x in enumerate(names) for y in names[:i] if (x ^ y).bit_count() <= 2])
         assert all(got.get(n, n) == w for n, w in want.items())
@@ -67,14 +67,15 @@ def test_simhash_links(spark):
 def test_simhash_rows(spark, hard, empty):
     rows = simhash.near_duplicates(hard).collect()
     assert len(rows) == hard.count()
-    prints = {}
+    nodes = {_print(r.text) for r in hard.collect()}
+    classes = _classes(nodes, [(x, y) for x in nodes for y in nodes if (x ^ y).bit_count() <= 2])
+    least = {}
     for r in hard.collect():
-        prints.setdefault(r.doc_id, _print(r.text))
-    for r in rows:
         if r.doc_id is not None:
-            assert r.bits & (2**64 - 1) == prints[r.doc_id]
-            near = [i for i, p in prints.items() if i is not None and (p ^ prints[r.doc_id]).bit_count() <= 2]
-            assert r.component_id <= min(near)
+            c = classes[_print(r.text)]
+            least[c] = min(r.doc_id, least.get(c, r.doc_id))
+    want = [(r.doc_id, _print(r.text), least.get(classes[_print(r.text)])) for r in hard.collect()]
+    assert sorted(((r.doc_id, r.bits & (2**64 - 1), r.component_id) for r in rows), key=str) == sorted(want, key=str)
     zero = {r.component_id for r in rows if r.bits == 0}
     assert zero == {2}
     assert simhash.near_duplicates(empty).count() == 0
@@ -100,6 +101,30 @@ def _substring(rows, window):
     return out
 
 
+def test_op9_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: _print(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names = sorted(set(docs.values()))
+    bits = np.array(names, np.uint64)
+    linked = [(x, names[j]) for i, x in enumerate(names) for j in np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= 2).tolist()]
+    classes, least = _classes(names, linked), {}
+    for i in sorted(docs):
+        least.setdefault(classes[docs[i]], i)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op9(spark, sf).collect()}
+    assert got == {i: (f"{x:016x}", least[classes[x]]) for i, x in docs.items()}
+
+
+def test_shards_are_searched_through_trees(spark):
+    """Of as many fingerprints as TREE and more, a shard's tree has branches, and a search leaves most of it out."""
+    r = np.random.default_rng(3)
+    tree = simhash.BkTree(r.integers(0, 1 << 63, 2000).tolist())
+    seen = []
+    tree.children = type("Counted", (dict,), {"__getitem__": lambda self, x: (seen.append(x), dict.__getitem__(self, x))[1]})(tree.children)
+    for x in r.integers(0, 1 << 63, 50).tolist():
+        tree.take(x, 2)
+    assert 1 < len(seen) / 50 < 2000 * 0.6
+
+
 def test_substring(spark, hard, empty):
     rows = [(r.doc_id, r.text) for r in hard.collect()]
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(hard).collect()]
