@@ -58,6 +58,44 @@ def test_label_model_shares_correlated_evidence():
     assert ((model.posterior > 0.5) == y).mean() > 0.85
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Features and labels of sf0.1: rows to fit on, labelled or not, and held-out labelled rows."""
+    sf = SF.replace("0.01", "0.1")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").where("toxic is not null or doc_id % 4 = 0").orderBy("doc_id").collect()
+    held = [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows]
+    of = lambda some: ([toxicity.counts((r.text or "").encode()) for r in some], np.array([-1 if r.toxic is None else r.toxic for r in some]))
+    return of([r for r, h in zip(rows, held, strict=True) if not h]), of([r for r, h in zip(rows, held, strict=True) if h and r.toxic is not None])
+
+
+def test_posteriors_come_from_votes(labelled):
+    """Held-out labels against posteriors: without any label, and with voters' rates counted on training labels."""
+    (rows, gold), (held, y) = labelled
+    train, other = toxicity.Texts(rows), toxicity.Texts(held)
+    unknown = np.full(len(gold), -1)
+    alone = toxicity.Voters(train, unknown)
+    v = np.concatenate([alone.votes(train), alone.votes(other)])
+    none = toxicity.LabelModel(v, np.full(len(v), -1)).posterior[len(gold) :]
+    assert _auc(y, none + 1e-9 * np.random.default_rng(0).random(len(none))) > 0.75
+    voters = toxicity.Voters(train, gold)
+    v = np.concatenate([voters.votes(train), voters.votes(other)])
+    model = toxicity.LabelModel(v, np.concatenate([gold, np.full(len(y), -1)]))
+    found = model.posterior[len(gold) :]
+    assert _auc(y, found) > 0.9 and ((found > 0.5) == y).mean() > 0.93
+    # a text's own label changes nothing but the rates
+    turned = np.concatenate([gold, np.full(len(y), -1)])
+    i = int(np.flatnonzero((gold == 0) & (model.posterior[: len(gold)] < 0.01))[0])
+    turned[i] = 1
+    assert toxicity.LabelModel(v, turned).posterior[i] < 0.05
+
+
+def test_linear_classifier_of_posteriors(labelled):
+    (rows, gold), (held, y) = labelled
+    w, b = toxicity.fit(rows, gold)
+    s = 1 / (1 + np.exp(-np.array([(w[f] * n).sum() / (k + toxicity.PRIOR) + b for f, n, k in held])))
+    assert _auc(y, s) > 0.93 and ((s >= 0.3) == y).mean() > 0.95
+
+
 def _kneser_ney(tokens, held):
     bi, c = collections.Counter(), collections.Counter()
     for t, h in zip(tokens, held, strict=True):
@@ -123,7 +161,7 @@ def _kneser_ney_of(tokens, held, order):
 
 @pytest.mark.parametrize("order", [3, 4])
 def test_language_model_of_longer_contexts(spark, hard, order):
-    docs = hard.select("doc_id", "text").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).select((F.col("doc_id") + 100).alias("doc_id"), "text")).localCheckpoint()
+    docs = hard.select("doc_id", "text").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
     rows = docs.collect()
     tokens = [[*(r.text or "").encode().lower().split(), b"\n"] for r in rows]
     held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
