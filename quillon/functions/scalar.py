@@ -116,6 +116,22 @@ def popcount(bits: Column) -> Column:
     return F.aggregate(bits.cast("array<int>"), F.lit(0), lambda s, x: s + x)
 
 
+def bit_zeros(n: int) -> Column:
+    return F.array_repeat(F.lit(0), n)
+
+
+def bit_ones(n: int) -> Column:
+    return F.array_repeat(F.lit(1), n)
+
+
+def set_bit(bits: Column, i: int, value: int = 1) -> Column:
+    return F.transform(bits.cast("array<int>"), lambda x, k: F.when(k == i, value).otherwise(x))
+
+
+def bit_text(bits: Column) -> Column:
+    return F.array_join(bits.cast("array<int>").cast("array<string>"), "")
+
+
 def flip(bits: Column, i: int) -> Column:
     return F.transform(bits.cast("array<int>"), lambda x, k: F.when(k == i, 1 - x).otherwise(x))
 

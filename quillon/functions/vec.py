@@ -16,6 +16,16 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def filled(n: int, value: float) -> Column:
+    """n times the same value."""
+    return F.array_repeat(F.lit(float(value)), n)
+
+
+def copied(v: Column, alpha: float = 1.0) -> Column:
+    """A copy, times alpha."""
+    return scale(vector(v), alpha)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -113,6 +123,17 @@ def equals(a: Column, b: Column, tol: float = 1e-8) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tol), lambda t: t)
 
 
+def count_equal(a: Column, b: Column, novalue: float | None = None) -> Column:
+    """Places where a and b are the same, but for those where a is `novalue`."""
+    same = lambda x, y: F.when((x == y) & (F.lit(True) if novalue is None else x != novalue), 1).otherwise(0)
+    return F.aggregate(F.zip_with(a, b, same), F.lit(0), lambda s, x: s + x).cast("long")
+
+
+def outer(a: Column, b: Column) -> Column:
+    """Rows of the products of a's elements with b, one after another."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+
+
 def variance(v: Column, population: bool = True) -> Column:
     """Null for no elements (and for one, of a sample)."""
     n = lambda u: F.size(u) if population else F.size(u) - 1

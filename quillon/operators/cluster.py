@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions import rng, vec
 
-from .neighbors import nearest_centroid
+from .neighbors import centroid_vote, nearest_centroid
 
 
 @dataclass
 class KMeans:
     """Lloyd's iterations. Each task sums its rows by nearest centroid (k x d numbers), the sums meet in one small
-    aggregation and only centroids come to the driver. An empty cluster keeps its centroid."""
+    aggregation and only centroids come to the driver. An empty cluster keeps its centroid. Rows without a vector are
+    left out; a table without rows gives no centroids, and then no row has a cluster."""
 
     k: int
     tolerance: float = 1e-4
@@ -33,9 +34,11 @@ class KMeans:
         return self
 
     def fit(self, df: DataFrame, row_id: str = "row_id", features: str = "features") -> KMeans:
-        data = df.select(F.col(row_id).alias("r"), vec.vector(features).alias("x"))
+        data = df.select(F.col(row_id).alias("r"), vec.vector(features).alias("x")).where("x is not null")
         if self.centroids is None:
             self.centroids = np.array([r.x for r in data.orderBy(rng.key(F.col("r"), self.seed), "r").limit(self.k).collect()], float)
+        if not len(self.centroids):
+            return self
         data = data.select("x").persist()
         try:
             for _ in range(self.max_iterations):
@@ -73,7 +76,7 @@ class KMeans:
         return moved
 
     def cluster(self, v: Column) -> Column:
-        return nearest_centroid(v, self.centroids.tolist())["k"]
+        return nearest_centroid(v, self.centroids.tolist())["k"] if len(self.centroids) else F.lit(None).cast("int")
 
     def info(self, df: DataFrame, features: str = "features") -> DataFrame:
         """(cluster, n)"""
@@ -108,9 +111,43 @@ class ClusterMap:
 
     def classify(self, v: Column) -> Column:
         k = nearest_centroid(v, self.prototypes, self.metric)["k"]
-        out = F.lit(None)
-        for a, b in self.mapping.items():
-            out = F.when(k == a, b).otherwise(out)
+        return F.element_at(F.lit([self.mapping.get(i) for i in range(len(self.prototypes))]).cast("array<int>"), k + 1)
+
+    def vote(self, v: Column, k: int) -> Column:
+        """Majority class of the k nearest prototypes that have one."""
+        known = sorted(self.mapping)
+        return centroid_vote(v, [self.prototypes[i] for i in known], [self.mapping[i] for i in known], k, self.metric)
+
+
+@dataclass
+class InClass:
+    """k-means within each class: prototypes (class, centroid), which label by themselves or vote."""
+
+    k: int
+    tolerance: float = 1e-4
+    max_iterations: int = 100
+    seed: int = 0
+    models: dict[int, KMeans] = field(default_factory=dict)
+
+    def fit(self, df: DataFrame, label: str = "label", row_id: str = "row_id", features: str = "features", seeds: dict | None = None) -> InClass:
+        classes = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())  # one row a class
+        for c in classes:
+            model = KMeans(self.k, self.tolerance, self.max_iterations, self.seed)
+            if seeds is not None:
+                model.seeded(seeds[c])
+            self.models[c] = model.fit(df.where(F.col(label) == c), row_id, features)
+        return self
+
+    def info(self, df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
+        """(label, cluster, n): rows of each class by its own clusters."""
+        v = vec.vector(features)
+        at = F.coalesce(*(F.when(F.col(label) == c, m.cluster(v)) for c, m in self.models.items()), F.lit(None).cast("int"))
+        return df.groupBy(label, at.alias("cluster")).agg(F.count("*").alias("n"))
+
+    def prototypes(self) -> ClusterMap:
+        pairs = [(c, m.tolist()) for c, model in self.models.items() for m in model.centroids]
+        out = ClusterMap([m for _, m in pairs])
+        out.mapping = {i: c for i, (c, _) in enumerate(pairs)}
         return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vec
 
-from .stats import column_means, covariance
+from .stats import moments
 
 
 def eigen(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,11 +31,9 @@ class Pca:
     def fit(df: DataFrame, components: int, dim: int, features: str = "features") -> Pca:
         if not 1 <= components <= dim:
             raise ValueError(f"{components} components of {dim}")
-        s = np.zeros((dim, dim))
-        for r in covariance(df, dim, features).collect():  # dim x dim rows
-            s[r.i, r.j] = r["cov"] or 0.0
-        w, v = eigen(s)
-        return Pca(np.array(column_means(df, dim, features)), w[:components], v[:, :components])
+        mean, s = moments(df, dim, features)
+        w, v = eigen(np.nan_to_num(s))
+        return Pca(mean, w[:components], v[:, :components])
 
     def transform(self, v: Column) -> Column:
         centred = vec.axpby(v, F.lit(self.mean.tolist()), 1.0, -1.0)

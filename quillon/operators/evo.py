@@ -7,6 +7,7 @@ to a checkpoint, so plans don't grow and a lost executor loses nothing that coun
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,6 +27,10 @@ def genes(member: Column, size: int, seed, f: Callable[[Column], Column]) -> Col
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: f(F.concat_ws("/", member.cast("string"), i.cast("string"))))
 
 
+def init_null(size: int) -> Column:
+    return F.array_repeat(F.lit(0.0), size)
+
+
 def init_uniform(member: Column, size: int, low: float, high: float, seed=0) -> Column:
     return genes(member, size, seed, lambda k: rng.uniform(k, seed, low, high))
 
@@ -82,11 +87,22 @@ def multiset_onepoint(a: Column, b: Column, cut: Column) -> Column:
     return F.array_sort(F.slice(F.array_distinct(F.concat(F.slice(a, F.lit(1), cut), b, a)), F.lit(1), F.size(a)))
 
 
-def respectful(a: Column, b: Column, member: Column, w: float = 3.0, seed=0) -> Column:
-    """Set crossover that weights common symbols w times: those of the union in weighted random order, to a's size."""
+def multiset_uniform(a: Column, b: Column, mask: Column) -> Column:
+    """Genes of b where the mask is 1 and of a elsewhere, without repeats, filled up from a and b to a's size, sorted."""
+    return F.array_sort(F.slice(F.array_distinct(F.concat(mixed(a, b, mask), a, b)), F.lit(1), F.size(a)))
+
+
+def respectful(a: Column, b: Column, member: Column, w: float = 3.0, seed=0, symbols: int = 0) -> Column:
+    """Set crossover that weights common symbols w times: those of the union in weighted random order, to a's size. With
+    the number of `symbols` there are, those that neither parent has (barred ones) come after, for what is missing."""
     weight = lambda x: F.when(F.array_contains(a, x) & F.array_contains(b, x), F.lit(w)).otherwise(F.lit(1.0))
     order = F.transform(F.array_union(a, b), lambda x: F.struct((-F.ln(F.greatest(rng.uniform(F.concat_ws("/", member.cast("string"), x.cast("string")), seed), F.lit(1e-12))) / weight(x)).alias("k"), x.alias("x")))
-    return F.array_sort(F.slice(F.transform(F.array_sort(order), lambda s: s["x"]), F.lit(1), F.size(a)))
+    chosen = F.transform(F.array_sort(order), lambda s: s["x"])
+    if symbols:
+        every = F.transform(F.sequence(F.lit(0), F.lit(symbols - 1)), lambda i: i.cast("double"))
+        barred = F.transform(F.array_except(every, F.array_union(a, b)), lambda x: F.struct(rng.key(F.concat_ws("/", member.cast("string"), x.cast("string")), f"{seed}b").alias("k"), x.alias("x")))
+        chosen = F.concat(chosen, F.transform(F.array_sort(barred), lambda s: s["x"]))
+    return F.array_sort(F.slice(chosen, F.lit(1), F.size(a)))
 
 
 def averaged(a: Column, b: Column) -> Column:
@@ -129,14 +145,73 @@ def mutate_multiset_replace(chain: Column, i: Column, symbol: Column) -> Column:
 # ---------------------------------------------------------------- selection and loops
 
 
+#: Members that a wheel may have: two numbers of each are broadcast.
+MOST = 1_000_000
+
+
+def _wheel(population: DataFrame):
+    """Ids and cumulative fitness in order of ids, broadcast; a missing or negative fitness counts as 0."""
+    rows = population.select("member_id", F.greatest(F.coalesce("fitness", F.lit(0.0)).cast("double"), F.lit(0.0)).alias("f")).orderBy("member_id").limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"a population of more than {MOST} members")
+    return population.sparkSession.sparkContext.broadcast((np.array([r.member_id for r in rows], np.int64), np.cumsum([r.f for r in rows])))
+
+
+def _spin(sums: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The first place whose cumulative fitness reaches u times the total; without any fitness all are alike."""
+    n = len(sums)
+    at = np.searchsorted(sums, u * sums[-1], "left") if sums[-1] > 0 else np.floor(u * n).astype(np.int64)
+    return np.minimum(at, n - 1)
+
+
 def roulette(population: DataFrame, draws: DataFrame) -> DataFrame:
-    """draws (draw, u) pick the first member whose cumulative fitness reaches u times the total. A population is
-    thousands of rows at most: the running sum is one small sort."""
-    w = Window.orderBy("member_id").rowsBetween(Window.unboundedPreceding, 0)
-    cum = population.withColumn("hi", F.sum("fitness").over(w)).withColumn("lo", F.col("hi") - F.col("fitness"))
-    total = population.agg(F.sum("fitness").alias("all"))
-    slices = draws.crossJoin(F.broadcast(total)).withColumn("slice", F.col("u") * F.col("all"))
-    return slices.join(F.broadcast(cum.select("member_id", "lo", "hi")), (F.col("lo") < F.col("slice")) & (F.col("slice") <= F.col("hi"))).select("draw", "member_id")
+    """(draw, member_id): draws (draw, u) pick the first member whose cumulative fitness reaches u times the total; of a
+    population without fitness all members are as likely. No members, no picks."""
+    sent = _wheel(population)
+
+    def run(arrow):
+        ids, sums = sent.value
+        for b in arrow:
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([b.column("draw"), pa.array(ids[_spin(sums, b.column("u").to_numpy())])], ["draw", "member_id"])
+
+    return draws.select(F.col("draw").cast("long").alias("draw"), F.col("u").cast("double").alias("u")).mapInArrow(run, "draw long, member_id long")
+
+
+def parents(population: DataFrame, children: DataFrame) -> DataFrame:
+    """(child, first, second) of children (child, u, w): u picks the first parent by roulette, and w the second from a
+    wheel without the first, so that the two are distinct wherever there are two members."""
+    sent = _wheel(population)
+
+    def run(arrow):
+        ids, sums = sent.value
+        own = np.diff(sums, prepend=0.0)
+        for b in arrow:
+            if not len(ids):
+                continue
+            u, w = b.column("u").to_numpy(), b.column("w").to_numpy()
+            first = _spin(sums, u)
+            rest = sums[-1] - own[first]
+            slice_ = w * rest
+            slice_ += np.where(slice_ > sums[first] - own[first], own[first], 0.0)
+            second = np.minimum(np.searchsorted(sums, slice_, "left"), len(ids) - 1)
+            alike = (rest <= 0) | (second == first)  # nothing but the first has fitness, or rounding met it
+            other = np.minimum(np.floor(w * (len(ids) - 1)).astype(np.int64), max(0, len(ids) - 2))
+            second = np.where(alike, np.minimum(other + (other >= first), len(ids) - 1), second)
+            yield pa.RecordBatch.from_arrays([b.column("child"), pa.array(ids[first]), pa.array(ids[second])], ["child", "first", "second"])
+
+    some = children.select(F.col("child").cast("long").alias("child"), F.col("u").cast("double").alias("u"), F.col("w").cast("double").alias("w"))
+    return some.mapInArrow(run, "child long, first long, second long")
+
+
+def save_state(table: DataFrame, path: str, **numbers) -> None:
+    """A table of a search, and its numbers beside it."""
+    table.write.mode("overwrite").parquet(f"{path}/table")
+    table.sparkSession.createDataFrame([(json.dumps(numbers),)], "numbers string").write.mode("overwrite").parquet(f"{path}/numbers")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/table"), json.loads(spark.read.parquet(f"{path}/numbers").first().numbers)
 
 
 def evaluate(population: DataFrame, fitness: Callable[[np.ndarray], float]) -> DataFrame:
@@ -174,37 +249,43 @@ class Genetic:
     threshold: float = 0.999
     seed: int = 0
 
-    def solve(self, spark: SparkSession, generations: int) -> tuple[DataFrame, list[float]]:
-        """The last population and each generation's best fitness."""
+    def solve(self, spark: SparkSession, generations: int, autosave: str | None = None, resume: str | None = None) -> tuple[DataFrame, list[float]]:
+        """The last population and each generation's best fitness; self.best is the best chain of all generations, with
+        its fitness. autosave: a folder for the state after every generation; resume: one to go on from."""
         ids = spark.range(self.size).withColumnRenamed("id", "member_id")
         m = F.col("member_id")
         chain = init_bool(m, self.genes, self.seed) if self.kind == "bool" else init_uniform(m, self.genes, self.low, self.high, self.seed)
-        now = kept(evaluate(ids.select("member_id", chain.alias("chain"), F.lit(None).cast("double").alias("fitness")), self.fitness))
-        history = []
-        for g in range(generations):
-            history.append(now.agg(F.max("fitness")).first()[0])
+        history, start, self.best = [], 0, ([], float("-inf"))
+        if resume is not None:
+            now, numbers = load_state(spark, resume)
+            now, history, start, self.best = kept(now), numbers["history"], numbers["generation"], tuple(numbers["best"])
+        else:
+            now = kept(evaluate(ids.select("member_id", chain.alias("chain"), F.lit(None).cast("double").alias("fitness")), self.fitness))
+        for g in range(start, start + generations):
+            lead = now.orderBy(F.desc("fitness"), "member_id").first()
+            history.append(lead.fitness)
+            if lead.fitness > self.best[1]:
+                self.best = (list(lead.chain), lead.fitness)
             if history[-1] >= self.threshold:
                 break
             now = self.evolve(spark, now, g)
+            if autosave is not None:
+                save_state(now, autosave, history=history, generation=g + 1, best=self.best)
         return now, history
 
     def evolve(self, spark: SparkSession, now: DataFrame, g: int) -> DataFrame:
         n = max(1, int(self.size * self.elites))
         elite = now.orderBy(F.desc("fitness"), "member_id").limit(n)
-        draws = spark.range(2 * (self.size - n)).select(F.col("id").alias("draw"), rng.uniform(F.col("id"), f"{self.seed}g{g}").alias("u"))
-        picked = roulette(now, draws).join(now.select("member_id", "chain"), "member_id").select("draw", "chain")
-        first = picked.where("draw % 2 = 0").select(F.floor(F.col("draw") / 2).alias("child"), F.col("chain").alias("a"))
-        second = picked.where("draw % 2 = 1").select(F.floor(F.col("draw") / 2).alias("child"), F.col("chain").alias("b"))
+        draws = spark.range(self.size - n).select(F.col("id").alias("child"), rng.uniform(F.col("id"), f"{self.seed}g{g}").alias("u"), rng.uniform(F.col("id"), f"{self.seed}h{g}").alias("w"))
+        chains = now.select(F.col("member_id").alias("first"), F.col("chain").alias("a"))
+        picked = parents(now, draws).join(chains, "first").join(chains.toDF("second", "b"), "second").select("child", "a", "b")
         child, seed = F.col("child"), f"{self.seed}x{g}"
         if self.crossover == "onepoint":
             made = onepoint(F.col("a"), F.col("b"), rng.integer(child, 1, max(1, self.genes - 1), seed))
         else:
             made = mixed(F.col("a"), F.col("b"), init_bool(child, self.genes, seed))
         made = mutate_flip(made, child, self.mutation, seed) if self.kind == "bool" else mutate_replace(made, child, self.mutation, self.low, self.high, seed)
-        # a draw that meets no member (rounding at the end) takes the best instead
-        best = elite.limit(1).select(F.col("chain").alias("best"))
-        every = spark.range(self.size - n).withColumnRenamed("id", "child").join(first.join(second, "child"), "child", "left").crossJoin(F.broadcast(best))
-        children = every.select((child + n).alias("member_id"), F.coalesce(made, F.col("best")).alias("chain"))
+        children = picked.select((child + n).alias("member_id"), made.alias("chain"))
         known = now.select("chain", F.col("fitness").alias("f")).dropDuplicates(["chain"])
         children = children.join(known, "chain", "left").select("member_id", "chain", F.col("f").alias("fitness"))
         again = Window.orderBy(F.desc("fitness"), "member_id")  # elites: a few rows
@@ -236,13 +317,17 @@ class Swarm:
     threshold: float = float("inf")
     seed: int = 0
 
-    def solve(self, spark: SparkSession, iterations: int) -> tuple[np.ndarray, list[float]]:
-        """Best place found and the best fitness after each iteration."""
+    def solve(self, spark: SparkSession, iterations: int, autosave: str | None = None, resume: str | None = None) -> tuple[np.ndarray, list[float]]:
+        """Best place found and the best fitness after each iteration. autosave: a folder for the state after every
+        iteration; resume: one to go on from."""
         f, dim = self.fitness, self.dim
         ids = spark.range(self.size).withColumnRenamed("id", "particle")
         x = init_uniform(F.col("particle"), dim, self.low, self.high, self.seed)
         now = ids.select("particle", F.posexplode(x).alias("j", "x")).withColumn("v", F.lit(0.0)).withColumn("pbest", F.col("x")).withColumn("pfit", F.lit(float("-inf")))
-        history, best, top = [], [0.0] * dim, float("-inf")
+        history, best, top, start = [], [0.0] * dim, float("-inf"), 0
+        if resume is not None:
+            now, numbers = load_state(spark, resume)
+            now, history, best, top, start = kept(now), *(numbers[k] for k in ("history", "best", "top", "iteration"))
 
         def judge(table: pa.Table) -> pa.Table:
             t = table.sort_by("j")
@@ -252,7 +337,7 @@ class Swarm:
             n = len(place)
             return pa.table({"particle": t.column("particle"), "j": t.column("j"), "x": t.column("x"), "v": t.column("v"), "pbest": t.column("x") if better else t.column("pbest"), "pfit": pa.array([max(fit, known)] * n)})
 
-        for i in range(iterations):
+        for i in range(start, start + iterations):
             now = kept(now.groupBy("particle").applyInArrow(judge, "particle long, j int, x double, v double, pbest double, pfit double"))
             lead = now.orderBy(F.desc("pfit"), "particle", "j").limit(dim).collect()
             if lead[0].pfit > top:
@@ -261,6 +346,8 @@ class Swarm:
             if top >= self.threshold:
                 break
             now = swarm_step(now, best, self.w, self.c1, self.c2, self.low, self.high, f"{self.seed}s{i}")
+            if autosave is not None:
+                save_state(now, autosave, history=history, best=best, top=top, iteration=i + 1)
         return np.array(best), history
 
 
@@ -283,12 +370,20 @@ class Symbols:
     exchanged: int = 2
     seed: int = 0
 
-    def solve(self, spark: SparkSession, generations: int) -> tuple[np.ndarray, list[float]]:
+    def solve(self, spark: SparkSession, generations: int, autosave: str | None = None, resume: str | None = None) -> tuple[np.ndarray, list[float]]:
+        """Best set found and the best fitness up to each generation. autosave: a folder for the state after every
+        generation; resume: one to go on from."""
         m = F.col("member_id")
         chain = init_multiset(m, [self.chosen], self.symbols, self.seed)
-        now = kept(evaluate(spark.range(self.size).withColumnRenamed("id", "member_id").select("member_id", chain.alias("chain"), F.lit(None).cast("double").alias("fitness")), self.fitness))
-        pull, history, best, top, n, k = np.full(self.symbols, 0.5), [], None, float("-inf"), self.exchanged, self.symbols
-        for g in range(generations):
+        pull, history, best, top, n, k, start = np.full(self.symbols, 0.5), [], None, float("-inf"), self.exchanged, self.symbols, 0
+        if resume is not None:
+            now, numbers = load_state(spark, resume)
+            now, history, top, start = kept(now), *(numbers[k] for k in ("history", "top", "generation"))
+            pull, best = np.array(numbers["pull"]), np.array(numbers["best"])
+        else:
+            first = spark.range(self.size).withColumnRenamed("id", "member_id").select("member_id", chain.alias("chain"), F.lit(None).cast("double").alias("fitness"))
+            now = kept(evaluate(first, self.fitness))
+        for g in range(start, start + generations):
             lead = now.orderBy(F.desc("fitness"), "member_id").first()
             if lead.fitness > top:
                 top, best = lead.fitness, np.array(lead.chain)
@@ -318,4 +413,6 @@ class Symbols:
                     yield pa.RecordBatch.from_arrays([b.column("member_id"), pa.array(chains, pa.list_(pa.float64())), pa.array(fits, pa.float64())], ["member_id", "chain", "fitness"])
 
             now = kept(evaluate(now.mapInArrow(exchange, "member_id long, chain array<double>, fitness double"), self.fitness))
+            if autosave is not None:
+                save_state(now, autosave, history=history, top=top, generation=g + 1, pull=pull.tolist(), best=best.tolist())
         return best, history

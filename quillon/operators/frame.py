@@ -173,6 +173,17 @@ def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def outer(u: DataFrame, v: DataFrame) -> DataFrame:
+    """(i, j, v) of u (i, u) times v (j, v): every element with every other, which is the result itself."""
+    return u.select("i", "u").crossJoin(v.select("j", "v")).select("i", "j", (F.col("u") * F.col("v")).alias("v"))
+
+
+def outer_rows(df: DataFrame, a: str, b: str, row_id: str = "row_id") -> DataFrame:
+    """(row_id, i, j, v): the outer product of two vectors of each row."""
+    one = df.select(row_id, b, F.posexplode(vec.vector(a)).alias("i", "_x"))
+    return one.select(row_id, "i", "_x", F.posexplode(vec.vector(b)).alias("j", "_y")).select(row_id, "i", "j", (F.col("_x") * F.col("_y")).alias("v"))
+
+
 def gemv(df: DataFrame, u: list[float], row_id: str = "row_id", features: str = "features") -> DataFrame:
     """(row_id, v): each row times a vector."""
     return df.select(row_id, vec.dot(vec.vector(features), F.lit([float(x) for x in u])).alias("v"))
@@ -184,7 +195,7 @@ def gram(df: DataFrame, dim: int, features: str = "features") -> DataFrame:
     def run(arrow):
         total = np.zeros((dim, dim))
         for b in arrow:
-            x = _matrix(b.column(0), dim)
+            x = matrix(b.column(0), dim)
             total += x.T @ x
         i, j = np.indices((dim, dim))
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"])
@@ -192,7 +203,7 @@ def gram(df: DataFrame, dim: int, features: str = "features") -> DataFrame:
     return df.select(vec.vector(features).alias("x")).where("x is not null").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     if len(x) != len(column) * dim:
         raise ValueError(f"every row must have {dim} features")

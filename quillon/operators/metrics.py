@@ -27,9 +27,10 @@ def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"))
 
 
-def multilabel_accuracy(actual: Column, predicted: Column) -> Column:
-    """Of two 0/1 arrays: ones that agree, and ones there are."""
-    return F.try_divide(vec.dot(actual.cast("array<double>"), predicted.cast("array<double>")), vec.total(actual.cast("array<double>")))
+def multilabel_accuracy(actual: Column, predicted: Column, novalue: float = 0.0) -> Column:
+    """Of two arrays of labels: those that agree and are not `novalue`, over the sum of the real ones."""
+    a, p = vec.vector(actual), vec.vector(predicted)
+    return F.try_divide(vec.count_equal(a, p, novalue).cast("double"), vec.total(a))
 
 
 def scores(conf: DataFrame, mode: str = "macro", positive=None) -> DataFrame:
@@ -61,11 +62,21 @@ def errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
 
 
+def matrix_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(mse, rmse, mae) over all elements of two columns of vectors."""
+    z = F.zip_with(vec.vector(actual), vec.vector(predicted), lambda a, p: a - p)
+    sums = df.select(z.alias("d")).where("d is not null").select(F.size("d").alias("n"), vec.sum_squared(F.col("d")).alias("s"), F.aggregate("d", F.lit(0.0), lambda t, x: t + F.abs(x)).alias("a"))
+    n = F.sum("n")
+    return sums.agg(F.try_divide(F.sum("s"), n).alias("mse"), F.sqrt(F.try_divide(F.sum("s"), n)).alias("rmse"), F.try_divide(F.sum("a"), n).alias("mae"))
+
+
 def silhouette(df: DataFrame, dim: int, row_id: str = "row_id", features: str = "features", cluster: str = "cluster", block: int = 1024) -> DataFrame:
-    """(row_id, s): Euclidean silhouette over all pairs, in numpy blocks. A cluster of one has 0, one cluster null.
+    """(row_id, s): Euclidean silhouette over all pairs, in numpy blocks. A cluster of one has 0, one cluster null;
+    rows without a vector or a cluster are left out.
 
     Rows are dealt to blocks; each pair of blocks gives every row its sum of distances to each cluster, so what is
     shuffled is rows times clusters, not pairs."""
+    df = df.where(F.col(features).isNotNull() & F.col(cluster).isNotNull())
     n = df.count()
     blocks = max(1, -(-n // block))
     data = df.select(F.col(row_id).cast("long").alias("r"), F.col(cluster).cast("int").alias("c"), vec.vector(features).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int").alias("b"))

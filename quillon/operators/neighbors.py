@@ -24,10 +24,12 @@ def k_nearest(queries: DataFrame, train: DataFrame, k: int, dim: int, metric: st
 
     d is the squared Euclidean or the Manhattan distance. Both sides are dealt to blocks of about `block` rows by
     hash; each pair of blocks is compared in numpy and keeps k rows a query, so what is shuffled after that is
-    queries times blocks times k. Exact for any k; fewer rows than k give as many as there are.
+    queries times blocks times k. Exact for any k; fewer rows than k give as many as there are; rows without a vector
+    are neither queries nor neighbours.
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(metric)
+    queries, train = (t.where(F.col(features).isNotNull()) for t in (queries, train))
     nq, nt = queries.count(), train.count()
     bq, bt = max(1, -(-nq // block)), max(1, -(-nt // block))
     cols = [F.col(row_id).cast("long").alias("id"), vec.vector(features).alias("x")]
@@ -73,30 +75,57 @@ def classify(near: DataFrame, labels: DataFrame, row_id: str = "row_id", label:
     return votes.groupBy("q").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("predicted"))
 
 
+def find_row(df: DataFrame, point: list[float], row_id: str = "row_id", features: str = "features") -> DataFrame:
+    """(row_id): rows equal to a point."""
+    return df.where(vec.vector(features) == F.lit([float(x) for x in point])).select(row_id)
+
+
+def centroid_vote(v: Column, centroids: list[list[float]], labels: list[int], k: int, metric: str = "euclidean") -> Column:
+    """Majority label of the k nearest of a few labelled centroids, the smallest label on a tie."""
+    d = vec.distance_squared if metric == "euclidean" else vec.manhattan
+    near = F.array_sort(F.array(*(F.struct(d(v, F.lit([float(x) for x in c])).alias("d"), F.lit(i).alias("i"), F.lit(y).alias("y")) for i, (c, y) in enumerate(zip(centroids, labels, strict=True)))))
+    classes = sorted(set(labels))
+    count = lambda y, c: F.size(F.filter(y, lambda x: x == c))
+    votes = lambda y: F.array(*(count(y, c) for c in classes))
+    return vec.let(F.transform(F.slice(near, 1, k), lambda x: x["y"]), lambda y: F.element_at(F.lit(classes), vec.argmax(votes(y)) + 1))
+
+
 def nearest_centroid(v: Column, centroids: list[list[float]], metric: str = "euclidean") -> Column:
     """(d, k) of the nearest of a few centroids, the first on a tie: one expression, no join."""
     d = vec.distance_squared if metric == "euclidean" else vec.manhattan
     return F.array_min(F.array(*(F.struct(d(v, F.lit([float(x) for x in c])).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centroids))))
 
 
-def most_similar(genes: DataFrame) -> DataFrame:
+def most_similar(genes: DataFrame, block: int = 4096) -> DataFrame:
     """genes (layer, gene, weights): for each the gene of the same layer of the largest cosine, the first on a tie.
 
-    A layer's genes meet in one task: layers are as wide as a network, not as a table."""
+    A layer is dealt to blocks of about `block` genes, each pair of blocks is compared in numpy and keeps one row a
+    gene. Genes without weights are left out; a gene of zero weights has cosine 0 with all others."""
+    genes = genes.select(F.col("layer").cast("int").alias("layer"), F.col("gene").cast("long").alias("gene"), vec.vector("weights").alias("weights")).where("weights is not null")
+    blocks = genes.groupBy("layer").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row a layer
+    own = genes.join(F.broadcast(blocks), "layer").withColumn("own", F.pmod(F.xxhash64("gene"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = own.select("layer", "gene", "weights", F.lit(0).alias("side"), F.col("own").alias("i"), every.alias("j"))
+    right = own.select("layer", "gene", "weights", F.lit(1).alias("side"), every.alias("i"), F.col("own").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("gene").to_numpy(), kind="stable")
-        gene = table.column("gene").to_numpy()[order]
-        x = np.array(table.column("weights").to_pylist(), float)[order]
+        table = table.sort_by("gene")
+        side, gene = table.column("side").to_numpy(), table.column("gene").to_numpy()
+        x = np.array(table.column("weights").to_pylist(), float).reshape(len(gene), -1)
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
-        at = s.argmax(1)
-        keep = np.isfinite(s[np.arange(len(s)), at])
-        return pa.table({"layer": pa.array(table.column("layer").to_numpy()[keep], pa.int32()), "gene": pa.array(gene[keep], pa.int64()), "similar": pa.array(gene[at][keep], pa.int64()), "cosine": pa.array(s[np.arange(len(s)), at][keep])})
-
-    return genes.select(F.col("layer").cast("int").alias("layer"), F.col("gene").cast("long").alias("gene"), vec.vector("weights").alias("weights")).groupBy("layer").applyInArrow(run, "layer int, gene long, similar long, cosine double")
+        a, b = side == 0, side == 1
+        s = x[a] @ x[b].T
+        s[gene[a][:, None] == gene[b][None, :]] = -np.inf
+        at = s.argmax(1) if b.any() else np.empty(0, np.int64)
+        best = s[np.arange(len(at)), at]
+        keep = np.isfinite(best)
+        rows = {"layer": pa.array(np.repeat(table.column("layer")[0].as_py(), keep.sum()), pa.int32()), "gene": pa.array(gene[a][: len(at)][keep], pa.int64())}
+        return pa.table({**rows, "similar": pa.array(gene[b][at][keep], pa.int64()), "cosine": pa.array(best[keep])})
+
+    found = left.unionByName(right).groupBy("layer", "i", "j").applyInArrow(run, "layer int, gene long, similar long, cosine double")
+    best = F.max_by(F.struct("similar", "cosine"), F.struct("cosine", -F.col("similar")))
+    return found.groupBy("layer", "gene").agg(best.alias("b")).select("layer", "gene", "b.similar", "b.cosine")
 
 
 def prune(filters: DataFrame, n: int, largest: bool = True) -> DataFrame:

@@ -33,6 +33,12 @@ def split(df: DataFrame, train: float | int, position: str = "pos", total: int |
     return df.withColumn("is_train", F.col(position) < train)
 
 
+def train_test(df: DataFrame, train: float | int, position: str = "pos", total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows to train with and those to test with."""
+    both = split(df, train, position, total)
+    return both.where("is_train").drop("is_train"), both.where("NOT is_train").drop("is_train")
+
+
 def k_fold(df: DataFrame, k: int, position: str = "pos", total: int | None = None) -> DataFrame:
     """fold in which a row is tested; the rows beyond k equal folds are never tested (-1)."""
     total = df.count() if total is None else total

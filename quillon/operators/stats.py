@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vec
 
-from .frame import gram
+from .frame import matrix
 
 
 def summary(df: DataFrame, columns: list[str], alpha: float = 0.0) -> DataFrame:
@@ -33,12 +36,56 @@ def graphic(hist: DataFrame, width: int = 40) -> DataFrame:
     return hist.crossJoin(F.broadcast(most)).select("bin", "n", F.expr(f"repeat('█', cast(coalesce(try_divide(n * {width}, most), 0) as int))").alias("bar"))
 
 
+def _moments(df: DataFrame, dim: int, features: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and centred products in one pass: each task has its own, which meet in a tree."""
+    data = df.select(vec.vector(features).alias("x")).where("x is not null")
+    schema = "k long, n long, mean binary, products binary"
+
+    def out(n, mean, products, k=0):
+        return {"k": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "mean": pa.array([mean.tobytes()], pa.binary()), "products": pa.array([products.tobytes()], pa.binary())}
+
+    def together(parts):
+        n, mean, products = 0, np.zeros(dim), np.zeros((dim, dim))
+        for m, mean_, products_ in parts:
+            d, all_ = mean_ - mean, n + m
+            products += products_ + np.outer(d, d) * (n * m / all_)
+            mean, n = mean + d * (m / all_), all_
+        return n, mean, products
+
+    def run(arrow):
+        def parts():
+            for b in arrow:
+                if b.num_rows:
+                    x = matrix(b.column(0), dim)
+                    mean = x.mean(0)
+                    yield len(x), mean, (x - mean).T @ (x - mean)
+
+        n, mean, products = together(parts())
+        if n:
+            yield pa.RecordBatch.from_pydict(out(n, mean, products, TaskContext.get().partitionId()))
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = zip(table.column("n").to_pylist(), table.column("mean").to_pylist(), table.column("products").to_pylist(), strict=True)
+        return pa.table(out(*together((n, np.frombuffer(m), np.frombuffer(p).reshape(dim, dim)) for n, m, p in rows)))
+
+    sums = data.mapInArrow(run, schema).groupBy(F.pmod("k", F.lit(256))).applyInArrow(add, schema)
+    r = sums.groupBy(F.lit(0).alias("all")).applyInArrow(add, schema).first()
+    if r is None:
+        return 0, np.zeros(dim), np.zeros((dim, dim))
+    return r.n, np.frombuffer(r.mean), np.frombuffer(r.products).reshape(dim, dim)
+
+
+def moments(df: DataFrame, dim: int, features: str = "features") -> tuple[np.ndarray, np.ndarray]:
+    """Means and the sample's covariance, of one pass; zeros for no rows, and covariances of one row are NaN."""
+    n, mean, products = _moments(df, dim, features)
+    return mean, products / (n - 1) if n > 1 else np.full((dim, dim), np.nan if n else 0.0)
+
+
 def covariance(df: DataFrame, dim: int, features: str = "features") -> DataFrame:
-    """(i, j, cov), of the sample. Column means first, then one pass of centred products by task."""
-    means = column_means(df, dim, features)
-    centred = df.select(vec.axpby(vec.vector(features), F.lit(means), 1.0, -1.0).alias("features"))
-    n = df.where(F.col(features).isNotNull()).count()
-    return gram(centred, dim).select("i", "j", F.try_divide(F.col("v"), F.lit(n - 1)).alias("cov"))
+    """(i, j, cov), of the sample; null where there are fewer than two rows."""
+    s = moments(df, dim, features)[1]
+    rows = [(i, j, None if np.isnan(x) else float(x)) for (i, j), x in np.ndenumerate(s)]
+    return df.sparkSession.createDataFrame(rows, "i long, j long, cov double")
 
 
 def column_means(df: DataFrame, dim: int, features: str = "features") -> list[float]:

@@ -71,7 +71,7 @@ def transpose(spark, d):
 def outer(spark, d):
     by = frame.entries(vectors(spark, d)).groupBy("j").agg(F.avg("v").alias("m"), F.max("v").alias("h"))
     # columns by columns, as the outer product of two vectors is
-    return by.select(F.col("j").alias("i"), "m").crossJoin(by.select("j", "h")).select("i", "j", r6(F.col("m") * F.col("h")).alias("v"))
+    return frame.outer(by.select(F.col("j").alias("i"), F.col("m").alias("u")), by.select("j", F.col("h").alias("v"))).withColumn("v", r6("v"))
 
 
 @query(f"SELECT i AS row_id, round(sum(v * sin(j)), 6) + 0.0 AS v FROM {ENTRIES} GROUP BY i")

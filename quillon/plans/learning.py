@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.functions import rng, scalar, vec
@@ -171,9 +172,21 @@ def losses(spark, d):
 @query(f"SELECT i AS row_id, j, round(v - 0.001 * ((0.9 * 0.1 * v + 0.1 * v) / (1 - 0.9 ** 2)) / (sqrt((0.999 * v * v + 0.001 * v * v) / (1 - 0.999 ** 2)) + 1e-8), 6) + 0.0 AS adam, round(v + (0.9 * 0.1 * v - 0.01 * v), 6) + 0.0 AS momentum, round(v - 0.01 / (1 + 0.1 * 3) * v, 6) + 0.0 AS decayed FROM {ENTRIES}")
 def gradient_steps(spark, d):
     """One step of each rule with the weights as their own gradients and moments."""
-    e, v = frame.entries(vectors(spark, d)).withColumnRenamed("i", "row_id"), F.col("v")
-    m, s = 0.9 * (0.1 * v) + 0.1 * v, 0.999 * v * v + 0.001 * v * v
-    return e.select("row_id", "j", r6(v - 0.001 * (m / (1 - 0.9**2)) / (F.sqrt(s / (1 - 0.999**2)) + 1e-8)).alias("adam"), r6(v + (0.9 * (0.1 * v) - 0.01 * v)).alias("momentum"), r6(v - 0.01 / (1 + 0.1 * 3) * v).alias("decayed"))
+
+    def run(arrow):
+        for b in arrow:
+            v = b.column("v").to_numpy(zero_copy_only=False)
+            steps = [nn.Step("adam", 0.001, t=1, state={0: (0.1 * v, v * v)}), nn.Step("momentum", 0.01, state={0: 0.1 * v}), nn.Step("decay", 0.01, decay=0.1, t=3)]
+            moved = []
+            for step in steps:
+                p = v.copy()
+                step([p], [v])
+                moved.append(pa.array(p))
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("j"), *moved], ["row_id", "j", "adam", "momentum", "decayed"])
+
+    e = frame.entries(vectors(spark, d)).select(F.col("i").alias("row_id"), "j", "v")
+    out = e.mapInArrow(run, "row_id long, j int, adam double, momentum double, decayed double")
+    return out.select("row_id", "j", *(r6(c).alias(c) for c in ("adam", "momentum", "decayed")))
 
 
 def _images(spark, d):
@@ -191,7 +204,7 @@ def conv2d_one(spark, d):
 
 @query(f"SELECT id, y // 2 AS y, x // 2 AS x, round(max(v), 6) + 0.0 AS v FROM {_IMG} GROUP BY 1, 2, 3")
 def maxpool2d(spark, d):
-    return nn.max_pool(_images(spark, d), 2).withColumn("v", r6("v"))
+    return nn.max_pool(_images(spark, d), 2).select("id", "y", "x", r6("v").alias("v"))
 
 
 @query()

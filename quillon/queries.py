@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import algebra, learning, rows  # noqa: F401  they register their queries
+from quillon.plans import algebra, coverage, learning, rows  # noqa: F401  they register their queries
 from quillon.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

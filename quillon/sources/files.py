@@ -3,13 +3,18 @@ readers, so a path may be in any store that Spark reads."""
 
 from __future__ import annotations
 
+import logging
+import re
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.frame import number_rows
+
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, comment: str = "#") -> DataFrame:
     """Names trimmed, empty cells null, numbers where a column has nothing else."""
@@ -17,6 +22,47 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     return df.toDF(*(c.strip() for c in df.columns))
 
 
+def read_coded(spark: SparkSession, path: str, sep: str = ",", header: bool = True, comment: str = "#", nanval: float = float("nan")) -> tuple[DataFrame, list[str]]:
+    """(row_id, features) of separated text by the rules of numeric tables, and the columns' names, trimmed.
+
+    Comment and blank lines go. Every line must have as many cells as the first. An empty cell is `nanval`, a cell that
+    begins with a number is that number, and any other is a code: texts of a column count up from 0 as they first come.
+    """
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^[ \t]*(" + re.escape(comment) + r".*)?\r?$")).withColumn("row_id", F.monotonically_increasing_id())
+    cells = lines.select("row_id", F.transform(F.split("value", f"\\Q{sep}\\E", -1), lambda x: F.trim(x)).alias("c"))
+    first = cells.orderBy("row_id").first()
+    if first is None:
+        return spark.createDataFrame([], "row_id long, features array<double>"), []
+    names = list(first.c) if header else [f"c{i}" for i in range(len(first.c))]
+    if header:
+        cells = cells.where(F.col("row_id") > first.row_id)
+    width = len(names)
+    wrong = cells.where(F.size("c") != width).count()
+    if wrong:
+        raise ValueError(f"{path}: {wrong} lines don't have {width} cells")
+    cells = number_rows(cells.withColumnRenamed("row_id", "_line"), F.col("_line"), name="row_id").drop("_line")
+    number = F.transform("c", lambda x: F.regexp_extract(x, r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", 0).try_cast("double"))
+    out = cells.select("row_id", "c", number.alias("x"))
+    texts = out.agg(*(F.max(F.expr(f"c[{i}] <> '' AND x[{i}] IS NULL")).alias(f"t{i}") for i in range(width))).first()
+    coded = [i for i in range(width) if texts[i]]
+    for i in coded:  # a column that has text: its distinct texts, in order of their first rows
+        known = out.where(F.expr(f"c[{i}] <> '' AND x[{i}] IS NULL")).groupBy(F.col("c")[i].alias("_t")).agg(F.min("row_id").alias("_first"))
+        known = number_rows(known, F.col("_first"), name=f"_code{i}").select(F.col("_t").alias(f"_t{i}"), f"_code{i}")
+        out = out.join(known, (F.col("c")[i] == F.col(f"_t{i}")) & F.col("x")[i].isNull(), "left").drop(f"_t{i}")
+    value = lambda i: F.coalesce(F.col("x")[i], *([F.col(f"_code{i}").cast("double")] if i in coded else []), F.lit(float(nanval)))
+    return out.select("row_id", F.array(*map(value, range(width))).alias("features")), names
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any store that Spark writes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def _pieces(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
     """One task a file; parse(bytes) yields record batches."""
 
@@ -119,6 +165,32 @@ def read_posters(spark: SparkSession, path: str) -> DataFrame:
     return _pieces(spark, path, parse, "row_id long, id int, features array<double>")
 
 
+def read_poster_labels(spark: SparkSession, path: str, classes: int = 14) -> DataFrame:
+    """(row_id, id, labels): a header of n (big-endian), then an id and as many bytes of 0 or 1 as there are classes."""
+
+    def parse(data):
+        (n,) = struct.unpack(">i", data[:4])
+        x = np.frombuffer(data, np.uint8, n * (4 + classes), 4).reshape(n, -1)
+        ids = x[:, :4].copy().view(">i4").ravel().astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"row_id": pa.array(np.arange(n)), "id": pa.array(ids), "labels": pa.array(list(x[:, 4:].astype(np.int32)), pa.list_(pa.int32()))})
+
+    return _pieces(spark, path, parse, "row_id long, id int, labels array<int>")
+
+
+def tee(name: str, path: str) -> logging.Logger:
+    """A logger of the driver that writes to standard output and to a file, flushed at every line."""
+    log = logging.getLogger(name)
+    log.setLevel(logging.INFO)
+    log.propagate = False
+    for old in log.handlers[:]:
+        log.removeHandler(old)
+        old.close()
+    for handler in (logging.StreamHandler(sys.stdout), logging.FileHandler(path, encoding="utf-8")):
+        handler.setFormatter(logging.Formatter("%(message)s"))
+        log.addHandler(handler)
+    return log
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import rng
 from quillon.functions.scalar import SURFACES
+from quillon.operators.frame import number_rows
 
 ID = F.col
 
@@ -62,11 +66,20 @@ def s_curve(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 def binary_series(spark: SparkSession, n: int, t1: int = 3, t2: int = 8, seed: int = 0) -> DataFrame:
-    """Each bit depends on those t1 and t2 before it: one fold over the history, in one row."""
-    past = lambda h, t: F.when(F.size(h) >= t, F.element_at(h, -t)).otherwise(0)
-    step = lambda h, i: F.concat(h, F.array(F.when(rng.uniform(i, seed) < 0.5 + 0.5 * past(h, t1) - 0.25 * past(h, t2), 1).otherwise(0)))
-    series = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<int>"), step)
-    return spark.range(1).select(F.posexplode(series).alias("t", "x"))
+    """Each bit depends on those t1 and t2 before it: one pass that remembers the last of them."""
+
+    def run(arrow):
+        for _ in arrow:
+            past = deque([0] * max(t1, t2), max(t1, t2))
+            for a in range(0, n, 1 << 16):
+                bits = []
+                for t in range(a, min(n, a + (1 << 16))):
+                    u = int(hashlib.md5(f"{t}:{seed}".encode()).hexdigest()[:8], 16) / rng.MOST
+                    bits.append(int(u < 0.5 + 0.5 * past[-t1] - 0.25 * past[-t2]))
+                    past.append(bits[-1])
+                yield pa.RecordBatch.from_pydict({"t": pa.array(range(a, a + len(bits)), pa.int32()), "x": pa.array(bits, pa.int32())})
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "t int, x int")
 
 
 def wave(spark: SparkSession, n: int, noise: float = 0.0, resolution: float = 10.0, seed: int = 0) -> DataFrame:
@@ -83,11 +96,13 @@ def overwrite(x: Column, row_id: Column, low: float, high: float, ratio: float,
 
 
 def label_noise(df: DataFrame, label: str, classes: int, ratio: float, one_target: bool = False, row_id: str = "row_id", seed: int = 0) -> DataFrame:
-    """noisy: the first `ratio` of each class's rows get a wrong label, one for the class or one for each row."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(row_id))
+    """noisy: the first `ratio` of each class's rows get a wrong label, one for the class or one for each row. Rows are
+    numbered by class and id in a distributed sort; a class is nowhere gathered."""
+    placed = number_rows(df, F.col(label), F.col(row_id), name="_pos")
+    ends = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_pos").alias("_first"), F.floor(F.count("*") * ratio).alias("_some"))  # one row a class
     shift = rng.integer(F.col(label) if one_target else F.col(row_id), 1, classes - 1, seed)
-    return df.withColumn("noisy", F.when(place <= F.floor(F.count("*").over(w) * ratio), (F.col(label) + shift) % classes).otherwise(F.col(label)).cast("int"))
+    noisy = F.when(F.col("_pos") - F.col("_first") < F.col("_some"), (F.col(label) + shift) % classes).otherwise(F.col(label)).cast("int")
+    return placed.join(F.broadcast(ends), F.col(label).eqNullSafe(F.col("_class"))).select(*df.columns, noisy.alias("noisy"))
 
 
 def ascii_art(spark: SparkSession, art: str, marks: dict[str, int]) -> DataFrame:
@@ -101,3 +116,22 @@ def ascii_art(spark: SparkSession, art: str, marks: dict[str, int]) -> DataFrame
 def truth_table(spark: SparkSession, kind: str) -> DataFrame:
     f = {"or": lambda a, b: a | b, "xor": lambda a, b: a ^ b}[kind]
     return spark.createDataFrame([(float(a), float(b), f(a, b)) for a in (0, 1) for b in (0, 1)], "x0 double, x1 double, y int")
+
+
+def linear_set(spark: SparkSession, margin: int = 1, side: int = 10) -> DataFrame:
+    """(x, y, label) of a square grid on both sides of its diagonal, but for cells within the margin of it."""
+    cells = spark.range(side * side).select((F.col("id") % side).cast("int").alias("x"), F.floor(F.col("id") / side).cast("int").alias("y"))
+    return cells.where(F.abs(F.col("x") - F.col("y")) >= margin).select("x", "y", (F.col("x") > F.col("y")).cast("int").alias("label"))
+
+
+# Monthly sales of a shampoo over three years, a published series.
+SHAMPOO = [
+    266.0, 145.9, 183.1, 119.3, 180.3, 168.5, 231.8, 224.5, 192.8, 122.9, 336.5, 185.9,
+    194.3, 149.5, 210.1, 273.3, 191.4, 287.0, 226.0, 303.6, 289.9, 421.6, 264.5, 342.3,
+    339.7, 440.4, 315.9, 439.3, 401.3, 437.4, 575.5, 407.6, 682.0, 475.3, 581.3, 646.9,
+]
+
+
+def shampoo(spark: SparkSession) -> DataFrame:
+    """(t, v)"""
+    return spark.createDataFrame(list(enumerate(SHAMPOO)), "t int, v double")
