@@ -10,8 +10,9 @@ Inside roles and texts each control string gets one backslash more behind its fi
 assistant texts: the sorted spans of those texts are intersected with the tokens' by binary search.
 
 Turns go to segments of SEGMENT turn numbers, which are rendered and encoded in parallel; within one, parts end
-after MOST characters, at a turn's end. Most conversations are one part. A conversation with very many rows is
-read as a stream of sorted rows, never as one group in memory.
+after MOST characters, at a turn's end. A conversation of SEGMENT rows or fewer is one segment whatever its numbers.
+Most conversations are one part. A conversation with very many rows is read as a stream of sorted rows, never as one
+group in memory.
 
 Defined results: null text or role is empty; turns are ordered by (turn, role, text), null first; repeated rows
 are turns of their own; a null conv_id is a conversation; an empty table has no conversations; other columns are
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, processors
 
+from .common import enter, register
+
 SEGMENT, MOST = 512, 1 << 20
 # The template's marks, and the control strings that are escaped in texts.
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
@@ -101,7 +104,11 @@ def load(definition: str) -> Tokenizer:
 _tokenizers: dict[str, Tokenizer] = {}
 
 
+register("chat", _tokenizers)
+
+
 def _tokenizer(name: str, sent) -> Tokenizer:
+    enter("chat")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if name not in _tokenizers:
         _tokenizers.clear()
@@ -141,7 +148,13 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None, learn:
             yield done()
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("segment", F.floor(F.col("turn") / SEGMENT).cast("long"))
+    segment = F.floor(F.col("turn") / SEGMENT).cast("long")
+    rows = rows.withColumn("segment", segment)
+    # conversations of few rows whose numbers are far apart: none as a rule
+    spans = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("segment").alias("first"), F.max("segment").alias("last"), F.count("segment").alias("known"))
+    sparse = spans.where((F.col("n") <= SEGMENT) & ((F.col("first") < F.col("last")) | (F.col("known") < F.col("n")))).select(F.col("conv_id").alias("_sparse"), F.lit(True).alias("_whole"))
+    if not sparse.isEmpty():
+        rows = rows.join(sparse, F.col("conv_id").eqNullSafe(F.col("_sparse")), "left").withColumn("segment", F.when(F.col("_whole"), 0).otherwise(F.col("segment")).cast("long")).drop("_sparse", "_whole")
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "segment", "turn", "role", "text")]
     return rows.repartition("conv_id", "segment").sortWithinPartitions(*order).mapInArrow(run, FORMATTED)
 

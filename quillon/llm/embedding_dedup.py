@@ -64,9 +64,11 @@ def read_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     good = np.array([v is not None and len(v) == dim and None not in v for v in rows], bool)
     x = np.array([v for v, g in zip(rows, good, strict=True) if g], float).reshape(-1, dim)
     fine = np.isfinite(x).all(1)
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
         norm = np.sqrt((x * x).sum(1))
-    fine &= (norm > 0) & np.isfinite(norm)
+        extreme = fine & ~((norm > 1e-150) & (norm < 1e150))  # squares that don't fit a double: the direction is all that counts
+        x[extreme] /= np.maximum(np.abs(x[extreme]).max(1, keepdims=True, initial=0), 5e-324)
+    fine &= x.any(1)
     good[np.flatnonzero(good)[~fine]] = False
     return good, x[fine]
 

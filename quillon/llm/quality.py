@@ -4,7 +4,7 @@ Every word has two tokens: its letters (hashed to BUCKETS rows) and its shape (c
 separators, and whether it repeats one of the two words before it). A token's index vector is sparse, ternary and
 random; its word vector is the sum of the index vectors of the tokens within two words of it, over all words of
 all documents. These sums are made in one pass: each task adds up its own table, of a fixed size, and the tables
-are added by slices of rows. A document is the mean of its words' normalised vectors, by kind of token, and its
+are added by slices of rows, in a tree. A document is the mean of its words' normalised vectors, by kind of token, and its
 length; the network sees those alone.
 
 The network is fitted on at most SAMPLE labelled rows (the smallest hashes of their ids), which reach the driver
@@ -24,21 +24,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches, documents, held_out_column, texts
+from .common import batches, documents, enter, held_out_column, register, texts
 from .toxicity import STRIP, sample
 
 #: Labelled rows that fitting takes at most.
 SAMPLE = 8000
 BUCKETS, SHAPES, DIM, NONZERO, HIDDEN = 1 << 15, 128, 64, 4, 32
 ROWS = BUCKETS + SHAPES
-#: Words that a worker keeps; when full it starts anew.
-CACHE = 500_000
-SLICE = 1028
+#: Words that a worker keeps, none longer than so many bytes; when full it starts anew.
+CACHE, WORD = 500_000, 64
+SLICE, TREE = 1028, 1024
 #: Bytes of texts whose words' vectors fit a processor's cache.
 CHUNK = 1 << 18
 
@@ -58,7 +59,9 @@ class Words(dict):
         tail = word[len(word.rstrip(STRIP)) :]
         text = core.decode("utf-8", "ignore")
         shape = (1 if len(text) > 1 and text.isupper() else 0) + 2 * min(3, len(tail)) + 8 * (tail[-1:] in (b"!", b"?")) + 16 * any(c.isdigit() for c in text) + 32 * (not text)
-        t = self[word] = (zlib.crc32(text.lower().encode()) % BUCKETS) << 8 | shape
+        t = (zlib.crc32(text.lower().encode()) % BUCKETS) << 8 | shape
+        if len(word) <= WORD:
+            self[word] = t
         return t
 
 
@@ -67,6 +70,7 @@ _words = Words()
 
 def tokens(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters' rows, shapes' rows and the numbers of words of texts."""
+    enter("quality")
     if len(_words) > CACHE:
         _words.clear()
     get, packed, counts = _words.__getitem__, [], []
@@ -167,17 +171,25 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         total, vectors = np.zeros((ROWS, DIM), np.float32), index_vectors()
         for b in batches(arrow, CHUNK):
             add_contexts(total, vectors, texts(b))
+        task = TaskContext.get().partitionId()
         for i in range(0, ROWS, SLICE):
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE], pa.int32()), "data": pa.array([zlib.compress(total[i : i + SLICE].tobytes(), 1)], pa.binary())})
-
-    def add(table):
-        data = [np.frombuffer(zlib.decompress(x.as_py()), np.float32) for x in table.column("data")]
-        return pa.table({"slice": table.column("slice")[:1], "data": pa.array([np.sum(data, 0, np.float64).astype(np.float32).tobytes()], pa.binary())})
-
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "slice int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary").collect()
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE], pa.int32()), "task": pa.array([task], pa.int32()), "data": pa.array([zlib.compress(total[i : i + SLICE].tobytes(), 1)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = 0
+        for x in table.column("data"):
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.float32).astype(float)
+        data = zlib.compress(total.astype(np.float32).tobytes(), 1)
+        return pa.table({"slice": table.column("slice")[:1], "task": table.column("task")[:1], "data": pa.array([data], pa.binary())})
+
+    schema = "slice int, task int, data binary"
+    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    # a tree: a slice's tables meet in TREE places first
+    sums = sums.groupBy("slice", F.pmod("task", F.lit(TREE))).applyInArrow(add, schema)
+    found = sums.groupBy("slice").applyInArrow(add, schema).collect()
     out = np.zeros((ROWS, DIM), np.float32)
     for r in found:  # a fixed number of slices
-        part = np.frombuffer(r.data, np.float32).reshape(-1, DIM)
+        part = np.frombuffer(zlib.decompress(r.data), np.float32).reshape(-1, DIM)
         out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
     used = np.abs(out).sum(1) > 0
     norm = out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
@@ -187,9 +199,11 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 _tables: dict[str, tuple] = {}
+register("quality", _words, _tables)
 
 
 def _table(name: str, sent):
+    enter("quality")
     if name not in _tables:
         _tables.clear()
         _tables[name] = sent.value

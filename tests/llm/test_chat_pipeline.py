@@ -1,6 +1,7 @@
 """Chat formatting, and the pipeline's stages on hard rows."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers as P
@@ -22,12 +23,13 @@ def test_round_trip():
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, None, None, "x"), (2, 0, "assistant", ""), (None, 0, "assistant", "n"), (3, 0, "user", "u" * 5000)] + [(4, k, "assistant", f"{k} ") for k in range(1300)] + [(1, 1, "assistant", "b")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, None, None, "x"), (2, 0, "assistant", ""), (None, 0, "assistant", "n"), (3, 0, "user", "u" * 5000)] + [(4, k, "assistant", f"{k} ") for k in range(1300)] + [(1, 1, "assistant", "b"), (5, 0, "user", "far"), (5, 600, "assistant", "apart"), (5, -3, "user", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS mask", "3 AS segment")
     parts = chat.format_chats(df)
     assert parts.where("conv_id = 4").count() == 3
+    assert [chat.parse(r.formatted) for r in parts.where("conv_id = 5").collect()] == [[("user", "first"), ("user", "far"), ("assistant", "apart")]]
     got = {r.conv_id: r for r in chat.digests(parts).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
+    assert set(got) == {1, 2, 3, 4, 5, None}
     assert got[1].n_turns == 4 and got[1].loss_chars == 2 and got[2].loss_chars == 0
     assert got[4].n_turns == 1300 and got[4].loss_chars == sum(len(f"{k} ") for k in range(1300))
     assert chat.digests(chat.format_chats(df.where("false"))).count() == 0
@@ -66,3 +68,40 @@ def test_each_stage_takes_what_is_planted(spark):
     assert set(left["simhash"]) == set(rows) - {7, 9}
     assert left["substring_dedup"][5] == rows[5] and passage not in left["substring_dedup"][6] and left["substring_dedup"][1] == rows[1]
     assert left["substring_dedup"][6].split() == rows[6].split()[:20] + rows[6].split()[-20:]
+
+
+def test_run_equals_brute_force(spark):
+    """Of the documents that toxicity's scores leave, what every other stage does by definition."""
+    import hashlib
+
+    import corpus_pipeline
+    from test_dedup import _classes, _print, _substring
+    from test_text import own_tiktoken
+
+    from quillon.llm import toxicity
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scores = {r.doc_id: r.score for r in toxicity.op1(spark, sf).collect()}
+    docs = {i: t for i, t in docs.items() if scores[i] < 0.3}
+    prints = {i: _print(t) for i, t in docs.items()}
+    nodes = sorted(set(prints.values()))
+    classes, first = _classes(nodes, [(x, y) for x in nodes for y in nodes if (x ^ y).bit_count() <= 2]), {}
+    for i in sorted(docs):
+        first.setdefault(classes[prints[i]], i)
+    docs = {i: docs[i] for i in first.values()}
+    docs = {i: kept if gone else docs[i] for i, _, gone, kept in _substring(sorted(docs.items()), 50)}
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = low(r.text)
+        windows.update(tuple(w[k : k + 8]) for k in range(max(1, len(w) - 7)))
+    assert {len(w) for w in windows} == {8}
+    clean = {i for i, t in docs.items() if not any(tuple(w[k : k + 8]) in windows for w in [low(t)] for k in range(len(w) - 7))}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(got) == clean and len(clean) < len(docs) < len(scores)
+    encoding = own_tiktoken()
+    for i, r in got.items():
+        ids = encoding.encode_ordinary(docs[i])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(docs[i].encode()).hexdigest()

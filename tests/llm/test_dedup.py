@@ -193,5 +193,6 @@ def test_simhash_stage_keeps_different_texts_of_one_id(spark):
 
 def test_embeddings_of_mixed_lengths(spark):
     rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [3.0, -1.0, 0.5]), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (6, [1.0, 2.0]), (7, [2.0, 1.0, 0.0, 1.0])]
+    rows += [(8, [1e200, 2e200]), (9, [1e-300, 2e-300]), (10, [0.0, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (4, 4), 5: (4, 4), 6: (4, 4), 7: (0, 7), 8: (4, 4), 9: (4, 4), 10: (0, 10)}

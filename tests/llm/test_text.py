@@ -22,9 +22,24 @@ def _random(n, alphabet, size=200, seed=1):
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, size))) for _ in range(n)]
 
 
-def test_bpe_equals_tiktoken():
+def own_tiktoken():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_op6_digests_equal_tiktoken(spark):
+    want, sf = own_tiktoken(), "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in byte_bpe.op6(spark, sf).collect():
+        ids = want.encode_ordinary(texts.pop(r.doc_id))
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(want.decode_bytes(ids)).hexdigest()
+    assert not texts
+
+
+def test_bpe_equals_tiktoken():
+    want = own_tiktoken()
+    ranks = want._mergeable_ranks
     model = byte_bpe.ByteBpe(ranks, P.PATTERN)
     texts = TEXTS + _random(300, "aabbcd  \n\t'sé漢1!́😀\x85\xa0\x1c")
     for t, ids in zip(texts, model.encode(texts), strict=True):
@@ -62,7 +77,7 @@ def _hits(text, items, window=8):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("group", [256 << 10, 40])
+@pytest.mark.parametrize("group", [4 << 20, 40])
 def test_decontaminate(spark, hard, empty, group):
     items = [(1, "fox jumps"), (2, "p1 p2 p3 p4 p5 p6 p7 p8 p9"), (3, None), (4, ""), (5, "É"), (6, "P50 P51 P52 p53 p54 p55 p56 p57, p58"), (7, "éÀÜ 漢字"), (2, "fox jumps")]
     bench = spark.createDataFrame(items, "item_id long, text string")
