@@ -64,15 +64,13 @@ def values(s: Column, sep: str = ",") -> Column:
     return F.transform(F.split(s, f"\\Q{sep}\\E", -1), lambda x: F.trim(x).try_cast("double"))
 
 
-def memory_text(n: Column) -> Column:
-    """Bytes as text in the largest unit that gives one or more."""
-    k = F.lit(1024.0)
-    return (
-        F.when(n < 1024, F.format_string("%d bytes", n.cast("long")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / k))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / (k * k)))
-        .otherwise(F.format_string("%.1f GB", n / (k * k * k)))
-    )
+def memory_text(n: Column, largest: str = "GB") -> Column:
+    """Bytes as text in the largest unit, up to `largest` (KB, MB or GB), that gives one or more."""
+    units = ("KB", "MB", "GB")[: ("KB", "MB", "GB").index(largest) + 1]
+    text = F.when(n < 1024, F.format_string("%d bytes", n.cast("long")))
+    for i, unit in enumerate(units[:-1], 1):
+        text = text.when(n < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", n / float(1024**i)))
+    return text.otherwise(F.format_string(f"%.1f {largest}", n / float(1024 ** len(units))))
 
 
 def duration_text(seconds: Column) -> Column:

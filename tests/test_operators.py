@@ -234,6 +234,20 @@ def test_bits_and_text(spark):
     assert r[0] == -5.625 and r[1] == [1.0, None, None, 2.5] and r[2] == "a " and r[3] == "2 mins and 23 secs"
 
 
+def test_memory_text_of_more_than_a_gigabyte(spark, tmp_path):
+    import duckdb
+
+    from quillon.queries import ORACLES, QUERIES
+
+    keys = [1, 2, 1073, 1074, 1099019, 1099020, 1200000, 3000000000]
+    part = spark.createDataFrame([(k, "a b", 7, 1000.0) for k in keys], "p_partkey long, p_name string, p_size int, p_retailprice double")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["scalar_functions"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES["scalar_functions"]).fetchall())
+    assert one(spark, *(scalar.memory_text(F.lit(n)) for n in (1023, 1024**2, 1024**3, 3 * 1024**4)))[0:4] == ("1023 bytes", "1.0 MB", "1.0 GB", "3072.0 GB")
+
+
 def test_streaming_windows(spark, tmp_path):
     from quillon.streaming.windows import windowed_stats
 
