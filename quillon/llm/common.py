@@ -48,19 +48,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: no lineage, exact sizes for AQE, one computation."""
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: no lineage, exact sizes for AQE, one computation. With
+    columns `by` their values are folders of their own, which drop() can delete apart."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.quillon_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by cut() which no later plan reads."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete a table made by cut(), or the folder `part` of it, which no later plan reads."""
     if path := getattr(df, "quillon_path", None):
-        _delete(df.sparkSession, path)
+        _delete(df.sparkSession, f"{path}/{part}" if part else path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

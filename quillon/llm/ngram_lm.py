@@ -23,6 +23,7 @@ documents every token is as likely as any; repeated rows are scored and counted
 
 from __future__ import annotations
 
+import bisect
 import ctypes
 import gc
 import os
@@ -32,12 +33,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ask, mix, pack, shard_slices, word_hashes
-from .common import LOWER, cut, documents, enter, held_out, shuffle_partitions
+from .common import cut, documents, drop, enter, held_out, shuffle_partitions
 
 END, START = b"\n", np.uint64(0x9E6C63D0876A9A47)
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -81,6 +83,27 @@ def add_up(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts) if len(starts) else np.empty(0, x.dtype)
 
 
+def bits_of(n: int) -> int:
+    """Bits that hold numbers below n."""
+    return max(1, (n - 1).bit_length())
+
+
+def order_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of keys of so many bits in ascending order, equal ones as they stand. Where a key leaves bits for its
+    place the two are sorted as one number, several times as fast as places by their keys."""
+    place = bits_of(len(keys))
+    if bits + place > 64:
+        return np.argsort(keys, kind="stable")
+    both = (keys << np.uint64(place)) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
+def seats(context: np.ndarray, shards: int) -> np.ndarray:
+    """A context's identity: its shard, and its low 40 bits."""
+    return ((((context >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)) << np.uint64(40)) | (context & np.uint64((1 << 40) - 1))
+
+
 def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
     """The arrays, read from a mapped file that has no name any more."""
     out, at = [], 0
@@ -108,25 +131,39 @@ def trim() -> None:
 
 
 class Grams:
-    """Distinct n-grams, sorted by context and word; `suffix` is the context without its first word, if any."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, trained: np.ndarray, suffix: np.ndarray | None):
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        at = runs(context, word)
+    """Distinct n-grams, sorted by context and word; `word` are places in `vocabulary`, of 48 bits each, `suffix` is
+    the context without its first word, if any."""
+
+    def __init__(self, context: np.ndarray, shards: int, word: np.ndarray, vocabulary: np.ndarray, trained: np.ndarray, suffix: np.ndarray | None):
+        seat = seats(context, shards)
+        self.least = int(seat.min()) >> 40 << 40 if len(seat) else 0
+        seat -= np.uint64(self.least)
+        order = order_of(seat, 64 if shards >> 24 else bits_of(int(seat.max()) + 1) if len(seat) else 1)
+        new = np.ones(len(seat), bool)
+        new[1:] = (by := seat[order])[1:] != by[:-1]
+        number = np.cumsum(new) - 1
+        self.contexts = by[new]
+        wide = bits_of(max(len(vocabulary), 1))
+        # words within contexts: the numbers of these are few, so that both fit a key
+        key = (number.astype(np.uint64) << np.uint64(wide)) | word[order].astype(np.uint64)
+        del seat, by, new, number
+        again = order_of(key, wide + bits_of(max(len(self.contexts), 1)))
+        order, key = order[again], key[again]
+        at = runs(key)
         self.gram = np.empty(len(order), np.int64)
         self.gram[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         self.count = add_up(trained[order].astype(np.int64), at)
-        self.word = word[at]
-        first = runs(context[at])
-        self.contexts = context[at][first]
+        self.word, self.vocabulary = (key[at] & np.uint64((1 << wide) - 1)).astype(np.int64), vocabulary
+        first = runs(key[at] >> np.uint64(wide))
         self.first = np.append(first, len(at))
         self.sizes = np.diff(self.first)
         self.suffix = None if suffix is None else suffix[order[at[first]]]
 
     def slices(self, shards: int):
         """(shard, contexts from, to, n-grams from, to)"""
-        return [(s, a, b, int(self.first[a]), int(self.first[b])) for s, a, b in shard_slices(self.contexts, shards)]
+        of = (self.contexts + np.uint64(self.least)) >> np.uint64(40)
+        at = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
+        return [(s, int(a), int(b), int(self.first[a]), int(self.first[b])) for s, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
 
     def messages(self, shards: int, counts: bool):
         """(shard, message); without counts it only asks."""
@@ -134,16 +171,31 @@ class Grams:
             words, which = np.unique(self.word[g0:g1], return_inverse=True)
             suffixes, of = (np.empty(0, np.uint64),) * 2 if self.suffix is None else np.unique(self.suffix[c0:c1], return_inverse=True)
             count = self.count[g0:g1] if counts else np.zeros(g1 - g0, np.int64)
-            yield s, squeeze(*cut_bits(self.contexts[c0:c1], 40), small(self.sizes[c0:c1]), *cut_bits(words, 48), small(which), small(count), suffixes, small(of))
+            steps = np.diff(self.contexts[c0:c1] & np.uint64((1 << 40) - 1), prepend=np.uint64(0))
+            yield s, squeeze(*cut_bits(steps, 40), small(self.sizes[c0:c1]), *cut_bits(self.vocabulary[words], 48), small(which), small(count), suffixes, small(of))
 
 
 def encode(table: pa.Table) -> pa.Table:
     """Of texts: ids, which of them are null, numbers of tokens, distinct words in order, and which each token is."""
-    split = [[*(x or b"").translate(LOWER).split(), END] for x in table.column("text").cast(pa.binary()).to_pylist()]
-    h, bounds = word_hashes(split)
-    words, which = np.unique(mix(h), return_inverse=True)
+    # white space of ASCII and no other, as bytes.split() has it; at a text's ends it leaves an empty word
+    split = pc.ascii_split_whitespace(pc.ascii_lower(table.column("text").cast(pa.string()).fill_null("")).combine_chunks())
+    flat = pc.dictionary_encode(split.flatten())
+    full = (of := flat.indices.to_numpy()) != (empty if (empty := pc.index(flat.dictionary, "").as_py()) >= 0 else len(of))
+    n = np.bincount(pc.list_parent_indices(split).to_numpy()[full], minlength=len(split))
+    h, _ = word_hashes([[*flat.dictionary.cast(pa.binary()).to_pylist(), END]])
+    token = np.full(n.sum() + len(n), len(h) - 1)
+    ends = np.cumsum(n + 1) - 1
+    inner = np.ones(len(token), bool)
+    inner[ends] = False
+    token[inner] = of[full]
+    seen = np.zeros(len(h), bool)
+    seen[token] = True
+    words, place = np.unique(mix(h[seen]), return_inverse=True)
+    back = np.zeros(len(h), np.int64)
+    back[seen] = place
+    which = back[token]
     ids = table.column("doc_id")
-    return pa.table({"tokens": pa.array([squeeze(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), np.diff(bounds), words, small(which))], pa.binary())})
+    return pa.table({"tokens": pa.array([squeeze(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), n + 1, words, small(which))], pa.binary())})
 
 
 class Block:
@@ -161,7 +213,6 @@ class Block:
         self.before[1:] = mix(words ^ SALT)[which[:-1]]
         self.before[first] = START
         self.words, self.which = words >> np.uint64(16), which
-        self.word = self.words[which]
 
     def context(self, length: int) -> np.ndarray:
         """Of the `length` words before each word."""
@@ -173,15 +224,16 @@ class Block:
             out = mix(mix(out) ^ older)
         return out
 
-    def grams(self, length: int, among: tuple[int, int, int] | None = None) -> Grams:
-        """N-grams of contexts of `length` words; among (shards, from, to): those of some shards."""
-        context, suffix = self.context(length), self.context(length - 1) if length > 1 else None
-        if among is None:
-            return Grams(context, self.word, self.trained, suffix)
-        shards, first, end = among
+    def grams(self, length: int, shards: int, first: int, end: int) -> tuple[Grams, np.ndarray]:
+        """N-grams with contexts of `length` words in some shards, and the places of their tokens."""
+        context = self.context(length)
         of = ((context >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
         some = np.flatnonzero((of >= first) & (of < end))
-        return Grams(context[some], self.word[some], self.trained[some], None if suffix is None else suffix[some])
+        context, suffix = context[some], None
+        del of
+        if length > 1:
+            suffix = self.context(length - 1)[some]
+        return Grams(context, shards, self.which[some], self.words, self.trained[some], suffix), some
 
 
 def word_slices(words: np.ndarray, shards: int):
@@ -191,7 +243,15 @@ def word_slices(words: np.ndarray, shards: int):
 # ---------------------------------------------------------------- shards
 
 ROW = "kind int, shard int, block long, data binary"
-TO_BLOCK, BELOW, TOTALS = 0, 1, 2
+#: Kinds of rows; what goes to the order below is BELOW and more, by the pass that reads it.
+TO_BLOCK, TOTALS, BELOW = 0, 1, 2
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def passes_of(shards: int, length: int) -> list[int]:
+    """Where each pass over the shards begins, and the end, in the round of contexts of `length` words."""
+    n = min(shards, PASSES) if length else 1
+    return [shards * k // n for k in range(n + 1)]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -207,46 +267,61 @@ def _ones(x: np.ndarray) -> np.ndarray:
 def _count_grams(shards: int, length: int):
     """Questions of blocks, and counts from the shards of the order above (block -1), to answers, counts for the
     order below and totals."""
+    begin = passes_of(shards, length - 1)
+    of = lambda shard: BELOW + bisect.bisect(begin, shard) - 1
 
     def run(table: pa.Table) -> pa.Table:
         trim()
         asked = [(s, b, unsqueeze(d)) for s, b, d in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
-        context = np.concatenate([np.repeat(join_bits(q[0], q[1]), q[2]) for _, _, q in asked])
-        word = np.concatenate([join_bits(q[3], q[4])[q[5]] for _, _, q in asked])
-        count = np.concatenate([q[6] for _, _, q in asked]).astype(np.int64)
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order]
-        at = runs(context, word)
-        count, context, word = add_up(count, at), context[at], word[at]
-        first = runs(context)
+        vocabulary = np.unique(np.concatenate([join_bits(q[3], q[4]) for _, _, q in asked]))
+        wide, size = bits_of(len(vocabulary)), np.cumsum([0, *(len(q[5]) for _, _, q in asked)])
+        key = np.empty(size[-1], np.uint64)
+        for i, (_, _, q) in enumerate(asked):
+            key[size[i] : size[i + 1]] = np.repeat(np.cumsum(join_bits(q[0], q[1])), q[2])
+        # the contexts of one shard: 40 bits, and as many as there are numbers for their words
+        number = None
+        if 40 + wide > 64:
+            number, key = np.unique(key, return_inverse=True)
+            key = key.astype(np.uint64)
+        key <<= np.uint64(wide)
+        for i, (_, _, q) in enumerate(asked):
+            key[size[i] : size[i + 1]] |= np.searchsorted(vocabulary, join_bits(q[3], q[4])).astype(np.uint64)[q[5]]
+        count = np.concatenate([q[6] for _, _, q in asked])
+        order = np.argsort(key, kind="stable")  # blocks send sorted runs
+        key = key[order]
+        at = runs(key)
+        gram = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+        gram[order] = np.repeat(np.arange(len(at), dtype=gram.dtype), np.diff(np.append(at, len(order))))
+        count, key = add_up(count[order].astype(np.int64), at), key[at]
+        del order, at
+        first = runs(key >> np.uint64(wide))
         total = add_up(count, first)
         n = [add_up((count == 1).astype(np.int64), first), add_up((count == 2).astype(np.int64), first), add_up((count > 2).astype(np.int64), first)]
-        # an n-gram's place is told by its context's first place and the word, both sorted
-        contexts, starts, context_total, n1, n2, n3, words, counts = mapped(context[first], small(np.append(first, len(context))), *map(small, (total, *n)), word, small(count))
+        keys, starts, context_total, n1, n2, n3, counts = mapped(key, small(np.append(first, len(key))), *map(small, (total, *n)), small(count))
         totals = _ones(count)
-        del context, word, count, order, at, first, total, n
-        suffix = np.zeros(len(contexts), np.uint64)
+        contexts = len(first)
+        context_of = np.repeat(np.arange(contexts, dtype=gram.dtype), np.diff(np.append(first, len(key))))
+        del number, key, count, first, total, n
+        suffix = np.zeros(contexts, np.uint64)
         out = [(TOTALS, 0, -1, squeeze(totals))]
-        for s, block, q in asked:
+        for i, (s, block, q) in enumerate(asked):
             if block < 0:
                 continue
-            c = np.searchsorted(contexts, join_bits(q[0], q[1]))
+            mine = gram[size[i] : size[i + 1]]  # where this block's n-grams are among all
+            c = context_of[mine[np.cumsum(q[2], dtype=np.int64) - q[2]]]
             if length > 1:
                 suffix[c] = q[7][q[8]]
-            lo, hi = starts[c].astype(np.int64).repeat(q[2]), starts[c + 1].astype(np.int64).repeat(q[2])
-            w = join_bits(q[3], q[4])[q[5]]
-            while (open_ := lo < hi).any():  # binary search within the contexts, all at once
-                mid = (lo + hi) >> 1
-                less = open_ & (words[np.minimum(mid, len(words) - 1)] < w)
-                lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-            out.append((TO_BLOCK, s, block, squeeze(small(counts[lo]), *(small(x[c]) for x in (context_total, n1, n2, n3)))))
+            out.append((TO_BLOCK, s, block, squeeze(small(counts[mine]), *(small(x[c]) for x in (context_total, n1, n2, n3)))))
+        del gram, context_of
         seen = counts > 0
+        word = (keys[seen] & np.uint64((1 << wide) - 1)).astype(np.int64)
         if length > 1:
-            below = Grams(np.repeat(suffix, np.diff(starts))[seen], words[seen], np.ones(seen.sum(), bool), None)
-            out += [(BELOW, s, -1, data) for s, data in below.messages(shards, True)]
+            below = Grams(np.repeat(suffix, np.diff(starts.astype(np.int64)))[seen], shards, word, vocabulary, np.ones(len(word), bool), None)
+            out += [(of(s), s, -1, data) for s, data in below.messages(shards, True)]
         else:
-            known, kinds = np.unique(words[seen], return_counts=True)
-            out += [(BELOW, s, -1, squeeze(*cut_bits(known[a:b], 48), small(np.zeros(b - a, np.int64)), small(kinds[a:b]))) for s, a, b in word_slices(known, shards)]
+            kinds = np.bincount(word, minlength=len(vocabulary))
+            known, kinds = vocabulary[kinds > 0], kinds[kinds > 0]
+            out += [(of(s), s, -1, squeeze(*cut_bits(known[a:b], 48), small(np.zeros(b - a, np.int64)), small(kinds[a:b]))) for s, a, b in word_slices(known, shards)]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -312,8 +387,14 @@ class Model:
 
 
 def _counted(asked: DataFrame, count, name: str) -> DataFrame:
-    """Messages counted by shard, in a table."""
-    return cut(asked.groupBy("shard").applyInArrow(count, ROW), name)
+    """Messages counted by shard, in a table by kind; what they shuffled is deleted when it is written."""
+    conf = asked.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return cut(asked.groupBy("shard").applyInArrow(count, ROW), name, "kind")
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
 def _totals(counted: DataFrame) -> list[np.ndarray]:
@@ -339,7 +420,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
 
     def grams(length, first, end):
         def send(number, table, _):
-            for s, data in Block(table, mod, remainder).grams(length, (shards, first, end)).messages(shards, length == order - 1):
+            for s, data in Block(table, mod, remainder).grams(length, shards, first, end)[0].messages(shards, length == order - 1):
                 yield _rows([(TO_BLOCK, s, number, data)])
 
         return send
@@ -351,38 +432,43 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod: int
         for s, i, j in word_slices(known, shards):
             yield _rows([(TO_BLOCK, s, number, squeeze(*cut_bits(known[i:j], 48), small(raw[i:j])))])
 
-    rounds = {}
+    rounds, tables = {}, {}
     for length in range(order - 1, -1, -1):
-        passes = min(shards, PASSES) if length else 1
-        done = []
-        for k in range(passes):
-            first, end = shards * k // passes, shards * (k + 1) // passes
+        done, begin = [], passes_of(shards, length)
+        for k, (first, end) in enumerate(zip(begin, begin[1:], strict=False)):
             asked = ask(blocks, None, grams(length, first, end) if length else words, ROW)
             if length < order - 1:
-                asked = asked.unionByName(rounds[length + 1].where((F.col("kind") == BELOW) & (F.col("shard") >= first) & (F.col("shard") < end)))
+                asked = asked.unionByName(rounds[length + 1].where(F.col("kind") == BELOW + k))
             done.append(_counted(asked, _count_grams(shards, length) if length else _count_words, f"grams{length}"))
             del asked
+            for above in tables[length + 1] if length < order - 1 else ():
+                drop(above, f"kind={BELOW + k}")
             _release(spark)
+        tables[length] = done
         rounds[length] = reduce(DataFrame.unionByName, done)
     model = Model([_totals(rounds[length])[0] for length in range(1, order)], *_totals(rounds[0]))
 
     def scored(_, table, answers):
         b = Block(table, mod, remainder)
-        known, gram = b.words, b.which
+        known = b.words
         raw, kinds = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
         for s, i, j in word_slices(known, shards):
-            raw[i:j], kinds[i:j] = unsqueeze(answers[(0, s)])
-        own, p = raw[gram], model.unigram(kinds)
+            raw[i:j], kinds[i:j] = unsqueeze(answers.pop((0, s)))
+        own, p = raw[b.which], model.unigram(kinds)[b.which]  # of each token, by ever longer contexts
         for length in range(1, order):
-            g = b.grams(length)
-            lower = np.empty(len(g.word))
-            lower[g.gram] = p[gram]
-            p, gram = np.empty(len(g.word)), g.gram
-            for s, c0, c1, g0, g1 in g.slices(shards):
-                count, *context = unsqueeze(answers[(length, s)])
-                p[g0:g1] = model.longer(length, count.astype(np.int64), *(np.repeat(x.astype(np.int64), g.sizes[c0:c1]) for x in context), lower[g0:g1])
+            longer, begin = np.empty(len(p)), passes_of(shards, length)
+            for first, end in zip(begin, begin[1:], strict=False):  # a range of shards at a time takes a part of the memory
+                g, some = b.grams(length, shards, first, end)
+                lower, q = np.empty(len(g.word)), np.empty(len(g.word))
+                lower[g.gram] = p[some]
+                for s, c0, c1, g0, g1 in g.slices(shards):
+                    count, *context = unsqueeze(answers.pop((length, s)))
+                    q[g0:g1] = model.longer(length, count.astype(np.int64), *(np.repeat(x.astype(np.int64), g.sizes[c0:c1]) for x in context), lower[g0:g1])
+                longer[some] = q[g.gram]
+                del g, some, lower, q
+            p = longer
         doc = np.repeat(np.arange(len(b.n)), b.n)
-        total = np.bincount(doc, np.log10(p)[gram], len(b.n))
+        total = np.bincount(doc, np.log10(p), len(b.n))
         yield pa.RecordBatch.from_arrays([
             pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.n, pa.int64()), pa.array(np.bincount(doc, own > 0, len(b.n)).astype(np.int64)),
             pa.array([model.n] * len(b.n), pa.int64()), pa.array(np.bincount(doc, model.base(own), len(b.n))), pa.array(total), pa.array(10 ** np.minimum(-total / b.n, 300)),

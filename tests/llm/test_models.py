@@ -179,3 +179,32 @@ def test_op2_uses_two_words_of_context(spark):
     one = ngram_lm.score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     of = lambda df: df.where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
     assert of(ngram_lm.op2(spark, "/root/testdata/sf0.001")) > of(one) + 0.01
+
+
+def test_what_a_round_has_read_is_deleted(spark):
+    """Neither messages to lower orders nor shuffles stay on disk when the counts are there."""
+    import glob
+    import time
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{local}/**/shuffle_*.data", recursive=True))
+    tables = lambda: set(glob.glob(f"{folder}/quillon-grams*"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(40))) for i in range(200)], "doc_id long, text string")
+    old_files, old_tables = files(), tables()
+    scored = ngram_lm.score(docs, order=3)
+    made = tables() - old_tables
+    assert made and all(spark.read.parquet(t).where(f"kind not in ({ngram_lm.TO_BLOCK}, {ngram_lm.TOTALS})").count() == 0 for t in made)
+    end = time.time() + 20
+    while (left := files() - old_files) and time.time() < end:
+        time.sleep(0.5)
+    assert not left
+    assert scored.count() == 200
+
+
+def test_orders_of_keys():
+    r = np.random.default_rng(1)
+    for bits in (1, 20, 50, 64):
+        k = r.integers(0, 1 << min(bits, 63), 20000).astype(np.uint64) << np.uint64(bits - min(bits, 63))
+        assert (ngram_lm.order_of(k, bits) == np.argsort(k, kind="stable")).all()
+    assert len(ngram_lm.order_of(np.empty(0, np.uint64), 1)) == 0
